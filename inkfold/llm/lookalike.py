@@ -22,6 +22,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Letters of other scripts and their Latin twins, position by position.
 CYRILLIC = "аеорсухіѕјһԁԛԝӏѵкмтвнгпзАВЕКМНОРСТУХІЅЈԚԜӀҮЗ"
@@ -224,5 +225,5 @@ def lookalikes(values: DataFrame) -> DataFrame:
     come out as often as they went in; columns beyond the three are dropped.
     """
     rows = values.select("row_id", "field", "value").where(F.col("value").rlike(r"[^\x00-\x7F]"))
-    schema = rows.schema.add("canonical", "string").add("changed", "boolean")
+    schema = T.StructType([*rows.schema.fields, T.StructField("canonical", T.StringType()), T.StructField("changed", T.BooleanType())])
     return rows.mapInPandas(canonical_batches, schema).where("changed").drop("changed")
