@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from inkfold.llm import drafts as d
-from inkfold.llm import lookalike
+from inkfold.llm import leaks, lookalike, tokens
 from inkfold.llm.tables import context_fields, long_fields
 from inkfold.session import table
 
@@ -36,6 +37,18 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.lookalikes(long_fields(context(spark, sf), "text", "window_title", "visible_text")).select("row_id", "field")
 
 
+#: Where the public vocabularies lie.
+TOKENIZERS = os.environ.get("INKFOLD_TOKENIZERS", "/opt/tokenizers")
+
+
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.encode(table(spark, sf, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
