@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from inkfold.llm import drafts as d
-from inkfold.llm import leaks, lookalike, tokens
+from inkfold.llm import garbled, leaks, lookalike, tokens
 from inkfold.llm.tables import context_fields, long_fields
 from inkfold.session import table
 
@@ -49,6 +49,14 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
 
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return garbled.garbled(table(spark, sf, "documents")).select("doc_id")
+
+
+def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
+    return garbled.garbled(table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
