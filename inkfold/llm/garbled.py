@@ -181,6 +181,11 @@ def _line(line: str, pair: str) -> str:
         return line
 
 
+#: Among pairs that explain as much, the more usual first.
+_ORDER = {p: i for i, p in enumerate([*(f"utf-8>{w}" for w in ("cp1252", *UTF8_READ_AS)), *(">".join(p) for p in CYRILLIC_PAIRS + LATIN_PAIRS)][::-1])}
+_ORDER = {p: len(_ORDER) - i for p, i in _ORDER.items()}
+
+
 def _votes(got: list[list]) -> Counter:
     """How many letters each pair of encodings explains."""
     out: Counter = Counter()
@@ -197,12 +202,11 @@ def _layer(line: str, got: list, votes: Counter) -> str:
     mine = _votes([got])
     if not mine:
         return line
-    best = max(mine, key=lambda p: (mine[p], votes[p], p))
+    best = max(mine, key=lambda p: (mine[p], votes[p], -_ORDER.get(p, 99)))
     if best.split(">")[0] in ("cp932", "euc-jp") and (whole := _line(line, best)) != line:
         return whole
-    chain = [p for _, _, k, readings in got if k == "chain" for _, p, _ in readings]
-    if len(chain) > sum(k != "chain" for _, _, k, _ in got) and (better := _words(line, max(chain, key=lambda p: (votes[p], p)))) != line:
-        return better
+    if tuple(best.split(">")) in CYRILLIC_PAIRS:
+        return _words(line, best)
     parts, at = [], 0
     for a, b, kind, readings in got:
         known = [o for _, p, o in readings if o is not None and p == best]
