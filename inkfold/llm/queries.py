@@ -6,9 +6,10 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from inkfold.llm import drafts as d
-from inkfold.llm import garbled, leaks, lookalike, tokens
+from inkfold.llm import garbled, leaks, lookalike, tokens, truncated
 from inkfold.llm.tables import context_fields, long_fields
 from inkfold.session import table
 
@@ -17,6 +18,15 @@ def context(spark: SparkSession, sf: str) -> DataFrame:
     return context_fields(table(spark, sf, "context"))
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return truncated.truncated(long_fields(context(spark, sf), "visible_text")).select("row_id")
+
+
+def p1_sources(spark: SparkSession, sf: str) -> DataFrame:
+    rows = context(spark, sf).select("row_id", F.lit("visible_text").alias("field"), F.col("visible_text").alias("value"), "source")
+    return truncated.truncation_report(rows)
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return d.cross_split_pairs(context(spark, sf))
 
