@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkfold.llm import drafts as d
-from inkfold.llm import garbled, leaks, lookalike, tokens, truncated
+from inkfold.llm import garbled, leaks, lookalike, pii, sampling, tokens, truncated
 from inkfold.llm.tables import context_fields, long_fields
 from inkfold.session import table
 
@@ -35,6 +35,26 @@ def p2_overlap_report(spark: SparkSession, sf: str) -> DataFrame:
     return d.overlap_report(context(spark, sf))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p3_report(spark, sf).where("available < wanted").select("category", "context_variant")
+
+
+def p3_report(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.balanced_sample(context(spark, sf), table(spark, sf, "sample_targets"))[1]
+
+
+def p3_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.balanced_sample(context(spark, sf), table(spark, sf, "sample_targets"))[0]
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.kinds_found(long_fields(context(spark, sf), "visible_text", "window_title"))
+
+
+def p4_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.personal(long_fields(context(spark, sf), "visible_text", "window_title")).select("row_id", "field", "redacted")
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return d.draft_groups(context(spark, sf))
 
@@ -47,6 +67,13 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.lookalikes(long_fields(context(spark, sf), "text", "window_title", "visible_text")).select("row_id", "field")
 
 
+FAMILY_RATE, EXAMPLE_RATE = 0.25, 0.5
+
+
+def p7_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.stable_sample(context(spark, sf), FAMILY_RATE, EXAMPLE_RATE)
+
+
 #: Where the public vocabularies lie.
 TOKENIZERS = os.environ.get("INKFOLD_TOKENIZERS", "/opt/tokenizers")
 
@@ -71,5 +98,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
 
+_SUPPLY = """
+with e as (select metadata.example_id as id, lower(trim(metadata.category)) as c, lower(trim(metadata.context_variant)) as v
+           from context where metadata.example_id is not null),
+     n as (select floor(count(distinct id) / 5) as n from e),
+     a as (select c, v, count(distinct id) as available from e group by c, v)
+select t.category, t.context_variant, t.target_share,
+       cast(greatest(t.min_rows, floor(t.target_share * n.n + 0.5)) as bigint) as wanted,
+       coalesce(a.available, 0) as available
+from sample_targets t cross join n
+left join a on a.c = lower(trim(t.category)) and a.v = lower(trim(t.context_variant))"""
+
+_WORDS = r"string_split(trim(regexp_replace(regexp_replace(lower(text), '[''’‘ʼ`´]', '', 'g'), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')), ' ')"
+
+
+def _grams(name: str, key: str) -> str:
+    return f"""select distinct {key}, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) as g
+               from (select {key}, {_WORDS} as w from {name}) where len(w) >= 13"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": f"select category, context_variant from ({_SUPPLY}) where available < wanted",
+        "p3_report": f"select category, context_variant, target_share, wanted, available, least(wanted, available) as selected, cast(0 as bigint) as residual from ({_SUPPLY})",
+        "p7_sample": f"""
+            select distinct metadata.family_id as family_id, metadata.example_id as example_id from context
+            where sha256('sample-v1:family_id:' || metadata.family_id) < '{sampling.threshold(FAMILY_RATE)}'
+              and sha256('sample-v1:example_id:' || metadata.example_id) < '{sampling.threshold(EXAMPLE_RATE)}'""",
+        "p9_found": f"""
+            with d as ({_grams("documents", "doc_id")}), i as ({_grams("eval_items", "item_id")})
+            select distinct doc_id, item_id from d join i using (g)""",
+    }
