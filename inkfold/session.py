@@ -49,4 +49,4 @@ def cut(df: DataFrame) -> DataFrame:
 
 def small(df: DataFrame, max_bytes: int) -> bool:
     """Whether the optimizer's size estimate proves that ``df`` may be broadcast."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= max_bytes
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= max_bytes
