@@ -69,17 +69,17 @@ def vote_rank(c: DataFrame, keep: list[str], original: str | None = None, top: i
     return g.withColumn("rank", F.row_number().over(W.partitionBy(*keep).orderBy(F.desc("votes"), "first_idx"))).where(F.col("rank") <= top)
 
 
-def evaluation(gold: DataFrame, predictions: DataFrame, by: str | None = "category") -> DataFrame:
-    """Roll-up of answers: all examples, and each category.
+def evaluation(gold: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Roll-up of each model's answers: all examples, and each category.
 
-    ``gold``: example_id, draft, accepted, changed, category, one row an example. ``predictions``: example_id, seq,
-    responses; the last one wins. A missing prediction counts as an example and in the completions' denominators
+    ``gold``: label, example_id, draft, accepted, changed, category, one row for each model and example.
+    ``predictions``: label, example_id, prediction_seq, responses; the last one wins. A missing prediction counts as an example and in the completions' denominators
     (five an example), but not among unchanged examples. A success needs a whole batch of five with its form right
     and an accepted text (the draft itself, for unchanged ones) ranked first.
     """
-    last = last_prediction(predictions.select("example_id", "seq", "responses"), ["example_id"], "seq").withColumn("has", F.lit(True)).drop("seq")
-    rows = gold.select("example_id", "draft", "accepted", "changed", F.col(by).alias("category") if by else F.lit(None).cast("string").alias("category")).join(last, "example_id", "left")
-    keep = ["example_id", "category", "changed"]
+    last = last_prediction(predictions.select("example_id", "label", "prediction_seq", "responses"), ["example_id", "label"], "prediction_seq").withColumn("has", F.lit(True)).drop("prediction_seq")
+    rows = gold.select("label", "example_id", "draft", "accepted", "changed", "category").join(last, ["example_id", "label"], "left")
+    keep = ["label", "category", "changed"]
     items = F.transform(F.slice(F.coalesce("responses", F.array().cast("array<string>")), 1, BATCH), lambda r: F.struct(suggestion_of(r).alias("s")))
     rows = rows.withColumn("items", items).withColumn("folded", F.transform("accepted", T.fold)).withColumn("plain", T.fold(F.col("draft")))
     s = F.transform("items", lambda x: T.fold(x["s"]))
@@ -103,9 +103,9 @@ def evaluation(gold: DataFrame, predictions: DataFrame, by: str | None = "catego
     )
     whole = (F.col("n") == BATCH) & (F.col("n_schema") == BATCH)
     return (
-        per.groupingSets([[], [F.col("category")]], F.col("category"))
+        per.groupingSets([[F.col("label")], [F.col("label"), F.col("category")]], F.col("label"), F.col("category"))
         .agg(
-            F.grouping("category").alias("total"),
+            F.grouping("category").cast("int").alias("total"),
             F.count(F.lit(1)).alias("examples"),
             F.count_if("missing").alias("missing"),
             F.count_if(~F.col("missing") & F.col("incomplete")).alias("incomplete_batches"),
@@ -117,7 +117,7 @@ def evaluation(gold: DataFrame, predictions: DataFrame, by: str | None = "catego
             F.count_if(~F.col("missing") & ~F.col("changed")).alias("unchanged_examples"),
             F.count_if(~F.col("missing") & ~F.col("changed") & F.col("edits")).alias("unneeded_edits"),
         )
-        .select("category", "total", "examples", "missing", "incomplete_batches", "schema_rate", "decision_rate", "completion_rate", "any_of_five", "success_rate", "unchanged_examples", "unneeded_edits")
+        .select("label", "category", "total", "examples", "missing", "incomplete_batches", "schema_rate", "decision_rate", "completion_rate", "any_of_five", "success_rate", "unchanged_examples", "unneeded_edits")
     )
 
 
