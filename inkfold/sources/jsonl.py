@@ -41,7 +41,7 @@ def read_checked(spark: SparkSession, path: str, schema: T.StructType) -> tuple[
 
 def read_numbered(spark: SparkSession, path: str) -> DataFrame:
     """``(line_no, value)`` of one small file, by line order; for sources where the line number is data."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.split("value", "\n")).alias("i", "value")).where(F.trim("value") != "").select((F.col("i") + 1).alias("line_no"), "value")
 
 

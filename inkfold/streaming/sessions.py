@@ -94,25 +94,35 @@ class EditSession:
         return EditSession(slots)
 
 
-def _replay(key: str, events: pd.DataFrame, session: EditSession) -> tuple[list[tuple], bool]:
-    out, ended = [], False
-    for e in events.sort_values(["seq"]).drop_duplicates("seq").itertuples():
-        if e.kind in ("end", "cancel"):
-            session.slots.clear()
-            ended = True
-        elif e.kind == "offer" and isinstance(e.draft, str) and isinstance(e.candidate, str):
-            ended = False
-            out += [(key, int(e.seq), a, b, r) for a, b, r in session.offer(e.draft, e.candidate, int(e.votes or 0), bool(e.unanimous))]
-    return out, ended
+def _step(key: str, e, session: EditSession) -> list[tuple]:
+    if e.kind in ("end", "cancel"):
+        session.slots.clear()
+    elif e.kind == "offer" and isinstance(e.draft, str) and isinstance(e.candidate, str):
+        votes = 0 if pd.isna(e.votes) else int(e.votes)
+        return [(key, int(e.seq), a, b, r) for a, b, r in session.offer(e.draft, e.candidate, votes, e.unanimous is True or e.unanimous == 1)]
+    return []
 
 
 def replay(events: DataFrame) -> DataFrame:
-    """Hardened edits of whole sessions, in batch; events of a session in order of ``seq``, repeated ones once."""
+    """Hardened edits of whole sessions, in batch; events of a session in order of ``seq``, repeated ones once.
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_replay(key[0], rows, EditSession())[0], columns=["session_id", "seq", "start", "end", "replacement"])
+    Sessions are laid out by key and sequence and read as a stream, one session's evidence in memory at a time.
+    """
 
-    return events.where("session_id is not null and seq is not null").groupBy("session_id").applyInPandas(run, OUT)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, session, last = None, EditSession(), None
+        for b in batches:
+            out = []
+            for e in b.itertuples():
+                if e.session_id != key:
+                    key, session, last = e.session_id, EditSession(), None
+                if e.seq != last:
+                    last = e.seq
+                    out += _step(key, e, session)
+            yield pd.DataFrame(out, columns=["session_id", "seq", "start", "end", "replacement"])
+
+    rows = events.where("session_id is not null and seq is not null").repartition("session_id").sortWithinPartitions("session_id", "seq")
+    return rows.mapInPandas(run, OUT)
 
 
 class EditProcessor(StatefulProcessor):
@@ -122,8 +132,10 @@ class EditProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows))
         session = EditSession.of(self.state.get()) if self.state.exists() else EditSession()
-        out, ended = _replay(key[0], events, session)
-        if session.slots and not ended:
+        out = []
+        for e in events.sort_values("seq").drop_duplicates("seq").itertuples():
+            out += _step(key[0], e, session)
+        if session.slots:
             self.state.put(session.rows())
         else:
             self.state.clear()
