@@ -193,7 +193,7 @@ def _votes(got: list[list]) -> Counter:
         for a, b, _, readings in g:
             for _, p, o in readings:
                 if o is not None:
-                    out[p] += b - a
+                    out[p] += (b - a) * (2 if o == o.lower() else 1)  # text is mostly small letters
     return out
 
 

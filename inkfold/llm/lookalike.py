@@ -181,7 +181,7 @@ def canonical(value: str | None) -> tuple[str | None, bool]:
     cjk = _CJK.search(value) is not None
     out = _invisible(value)
     out = _SPACE.sub(lambda m: m.group() if cjk and m.group() == "　" else " ", out)
-    out = "".join(c if c < "\x80" or (cjk and scripts(c) not in (None, frozenset({"Latin"}))) else plain(c) for c in out)
+    out = "".join(c if c < "\x80" or (cjk and ("！" <= c <= "～" or scripts(c) not in (None, frozenset({"Latin"})))) else plain(c) for c in out)
     if not cjk:
         out = "".join(unicodedata.normalize("NFKC", c) if "！" <= c <= "～" else c for c in out)
     out = unicodedata.normalize("NFC", out)

@@ -51,7 +51,7 @@ def flight(p: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarray
         a = x[work].T
         active = np.abs(a).sum(axis=1) > 0
         a = a[active]
-        rank = np.linalg.matrix_rank(a)
+        rank = np.linalg.matrix_rank(a) if len(a) else 0
         if len(work) <= rank:
             if not todo:
                 break
