@@ -67,6 +67,11 @@ _LOOSE = {
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}’'\-]+")
 
 
+_STREET_WORDS = set(STREET_AFTER) | set(STREET_BEFORE)
+_STREET_STEMS = tuple(e.strip(".") for e in STREET_END)
+_NAME_WORDS = GIVEN | set(TITLES)
+
+
 def _key(word: str) -> str:
     return word.lower().strip(".,:;'’-")
 
@@ -93,8 +98,15 @@ def _around(text: str, a: int, b: int) -> tuple[list[str], str]:
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, str, tuple[str, ...]]]:
-    """Segments ``(start, end, kind, features)`` that could be of a kind."""
-    for m in _LOOSE["email"].finditer(text):
+    """Segments ``(start, end, kind, features)`` that could be of a kind. A grammar is tried only on texts that hold
+    what all its matches hold."""
+    low = text.lower()
+    keys = {k.strip(".,:;'’-") for k in _TOKEN.findall(low)}
+    digits = any(map(str.isdigit, text))
+    emails = "@" in text or "＠" in text or ("at" in low and ("dot" in low or "(at)" in low or "[at]" in low or "{at}" in low))
+    streets = digits and (not keys.isdisjoint(_STREET_WORDS) or any(e in low for e in _STREET_STEMS))
+    names = not keys.isdisjoint(_NAME_WORDS)
+    for m in _LOOSE["email"].finditer(text) if emails else ():
         s, a, b = m.group(), m.start(), m.end()
         at = regex.search(r"@|＠|\[at\]|\(at\)|\{at\}| at ", s, regex.I)
         local, domain = s[: at.start()], s[at.end() :]
@@ -102,7 +114,7 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, tuple[str, ...]]]:
             continue
         dotted = bool(regex.search(r"\.\s?\p{L}{2,}$|dot.{0,2}\s?\p{L}{2,}$", domain, regex.I))
         yield a, b, "email", ("bias", f"sign={'@' if '@' in at.group() else at.group().strip().lower()}", f"local={bool(local.strip())}", f"dotted={dotted}", f"both={bool(local.strip()) and dotted}", f"spelt={at.group() == ' at '}")
-    for m in _LOOSE["digits"].finditer(text):
+    for m in _LOOSE["digits"].finditer(text) if digits else ():
         s, a, b = m.group(), m.start(), m.end()
         n = sum(c.isdigit() for c in s)
         if n < 5 or b - a > LONGEST:
@@ -114,18 +126,18 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, tuple[str, ...]]]:
         f = ("bias", f"n={min(n, 16)}", f"near={near}", f"plus={s[0] == '+'}", f"zero={s[0] == '0'}", f"paren={'(' in s}", f"letter={any(c.isalpha() for c in s)}", f"groups={min(5, len(regex.split(r'[ ./()-]+', s)))}", f"sep={''.join(sorted(set(regex.findall(r'[ ./-]', s))))}", f"shape={shape}", f"555={'555' in s}", f"glued={text[a - 1 : a].isalnum() or after[:1].isalnum()}", f"money={text[a - 1 : a] in '$€£#' and a > 0}", *(f"cue={c}" for c, v in cues.items() if v), f"near,n={near},{7 <= n <= 15}")
         yield a, b, "phone", f
         yield a, b, "id_number", f
-    for m in _LOOSE["street"].finditer(text, overlapped=True):
+    for m in _LOOSE["street"].finditer(text, overlapped=True) if streets else ():
         s, a, b = m.group(), m.start(), m.end()
         if b - a > LONGEST or (a and (text[a - 1].isalnum() or text[a - 1] in ".,-/" and text[a - 2 : a - 1].isdigit())):
             continue
         words = _TOKEN.findall(s)
-        names = [w for w in words if not w[0].isdigit() and _key(w) not in STREET_AFTER + STREET_BEFORE]
+        own = [w for w in words if not w[0].isdigit() and _key(w) not in _STREET_WORDS]
         after_ = [_key(w) for w in words if _key(w) in STREET_AFTER]
         before_ = [_key(w) for w in words if _key(w) in STREET_BEFORE]
         end = any(_key(w).endswith(e.strip(".")) and len(_key(w)) > len(e) + 2 for w in words for e in STREET_END)
-        common = sum(_key(w) in _FUNCTION for w in names)
-        yield a, b, "street_address", ("bias", f"after={bool(after_)}", f"before={bool(before_)}", f"end={end}", f"common={min(common, 3)}", f"names={min(len(names), 4)}", f"big={any(w[0].isupper() for w in names)}", f"form={(after_ or before_ or ['end'])[0]}", f"digit={s[0].isdigit()}", f"lower={not any(w[0].isupper() for w in names)},{bool(before_)}", f"cut={'.' in s[:-6] and ' St.' not in s}")
-    for m in _LOOSE["name"].finditer(text, overlapped=True):
+        common = sum(_key(w) in _FUNCTION for w in own)
+        yield a, b, "street_address", ("bias", f"after={bool(after_)}", f"before={bool(before_)}", f"end={end}", f"common={min(common, 3)}", f"names={min(len(own), 4)}", f"big={any(w[0].isupper() for w in own)}", f"form={(after_ or before_ or ['end'])[0]}", f"digit={s[0].isdigit()}", f"lower={not any(w[0].isupper() for w in own)},{bool(before_)}", f"cut={'.' in s[:-6] and ' St.' not in s}")
+    for m in _LOOSE["name"].finditer(text, overlapped=True) if names else ():
         words = [(w.group(), w.end()) for w in regex.finditer(rf"{_WORD}\.?,?", m.group())]
         for n in (2, 3):
             if len(words) < n:
