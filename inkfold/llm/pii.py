@@ -26,7 +26,7 @@ from inkfold.llm.lookalike import canonical
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "street_address": "[ADDRESS]", "person_name": "[NAME]"}
 LONGEST = 90
-SENTENCES, ROUNDS, SEED = 4000, 6, 11
+SENTENCES, ROUNDS, SEED = 3000, 5, 11
 
 # Word lists of the features.
 GIVEN = set(
@@ -136,7 +136,7 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, tuple[str, ...]]]:
         before_ = [_key(w) for w in words if _key(w) in STREET_BEFORE]
         end = any(_key(w).endswith(e.strip(".")) and len(_key(w)) > len(e) + 2 for w in words for e in STREET_END)
         common = sum(_key(w) in _FUNCTION for w in own)
-        yield a, b, "street_address", ("bias", f"after={bool(after_)}", f"before={bool(before_)}", f"end={end}", f"common={min(common, 3)}", f"names={min(len(own), 4)}", f"big={any(w[0].isupper() for w in own)}", f"form={(after_ or before_ or ['end'])[0]}", f"digit={s[0].isdigit()}", f"lower={not any(w[0].isupper() for w in own)},{bool(before_)}", f"cut={'.' in s[:-6] and ' St.' not in s}")
+        yield a, b, "street_address", ("bias", f"after={bool(after_)}", f"before={bool(before_)}", f"end={end}", f"common={min(common, 3)}", f"names={min(len(own), 4)}", f"big={any(w[0].isupper() for w in own)}", f"form={(after_ or before_ or ['end'])[0]}", f"unit={_key(words[0]) in ('flat', 'apt', 'apartment', 'unit', 'suite')}", f"digit={s[0].isdigit()}", f"function={common > 0},{_key(words[1] if len(words) > 1 else '') in _FUNCTION}", f"lower={not any(w[0].isupper() for w in own)},{bool(before_)}", f"cut={'.' in s[:-6] and ' St.' not in s}")
     for m in _LOOSE["name"].finditer(text, overlapped=True) if names else ():
         words = [(w.group(), w.end()) for w in regex.finditer(rf"{_WORD}\.?,?", m.group())]
         for n in (2, 3):
@@ -231,7 +231,7 @@ def _compose(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
         "street_address": ["Deliver the box to {} on Sunday.", "Pick up is at {}, second door.", "New address: {}. Update the list.", "Route to {}", "{} - Maps", "Delivery {} (plan)", "The courier waited outside {} for an hour."],
         "person_name": ["Signed by {} for the team.", "Attendees: {} and the legal team.", "Kind regards,\n{}\nThe desk.", "I talked to {} about the plan.", "Ask {} where it went.", "{} will confirm it on Monday.", "{}: can you check the plan?", "Re: plan from {}", "1:1 {} - Calendar", "{} | Profile", "Please thank {} for the plan."],
     }
-    decoys = [f"Meeting ID: {d(3)} {d(3)} {d(3)}", f"Order {d(4)}-{d(3)}-{d(5)} has left the depot.", f"Ticket #{d(6)} was merged into version {d(1)}.{d(3)}.{d(1)} of it.", f"Build {d(5)}.{d(3)}.{d(3)} fixed {d(3)} issues.", f"Serial {d(5)}-{d(3)}-B belongs to the scanner.", f"Use error code E-{d(3)}-{d(3)} here.", f"Tracking code ZX{d(5)}QP shows no movement.", f"Invoice {d(3)}-{d(3)} · Due Friday", f"Ping @{syll(3)} in the channel.", f"The train from {given()} Station leaves at {d(1)}:00.", f"The {given()} office keeps the plan.", f"The {made()} folder holds {d(3)} items in room {d(3)}.", f"We moved {made()} to hall {d(1)} at {d(1)} pm.", f"Costs for {made()} rose to €{d(3)} after the count, $1,{d(3)}.50 in all.", f"Quarter Ledger and {made()} Notes are the plans.", f"{made()} asked for {d(3)} copies by Monday, with the {syll(2)} team.", f"Two changes to the {made()} roadmap came back.", f"See https://docs.example/{syll(3)}/plan for it.", f"Gate {d(3)} · Boarding {d(2)}:{d(2)} · Row {d(3)}", f"The score was {d(3)}:{d(3)} after extra time.", f"Please rename {made()} and leave room {d(3)} in the way.", f"The street team took {d(2)} copies on the way to the court.", f"Ms in the {made()} file means manuscript.", f"v{d(1)}.{d(3)}.{d(1)} (build {d(3)})", f"For {made()}, the review takes place in room {d(3)} at {d(1)} pm.", f"The review takes place in hall {d(1)} by {d(1)}:30 pm.", f"It went via {made()} at {d(1)}, with {d(3)} copies on the way.", f"They drive {d(2)} copies to {made()} in row {d(2)}.", f"Room {d(3)}, Tuesdays {d(2)}:{d(2)}", f"{made()} rang at {d(2)}; the ring {d(2)} came late.", f"Please check the {made()} budget and leave the next one in desk {d(2)}."]
+    decoys = [f"Meeting ID: {d(3)} {d(3)} {d(3)}", f"Order {d(4)}-{d(3)}-{d(5)} has left the depot.", f"Ticket #{d(6)} was merged into version {d(1)}.{d(3)}.{d(1)} of it.", f"Build {d(5)}.{d(3)}.{d(3)} fixed {d(3)} issues.", f"Serial {d(5)}-{d(3)}-B belongs to the scanner.", f"Use error code E-{d(3)}-{d(3)} here.", f"Tracking code ZX{d(5)}QP shows no movement.", f"Invoice {d(3)}-{d(3)} · Due Friday", f"Ping @{syll(3)} in the channel.", f"The train from {given()} Station leaves at {d(1)}:00.", f"The {given()} office keeps the plan.", f"The {made()} folder holds {d(3)} items in room {d(3)}.", f"We moved {made()} to hall {d(1)} at {d(1)} pm.", f"Costs for {made()} rose to €{d(3)} after the count, $1,{d(3)}.50 in all.", f"Quarter Ledger and {made()} Notes are the plans.", f"{made()} asked for {d(3)} copies by Monday, with the {syll(2)} team.", f"Two changes to the {made()} roadmap came back.", f"See https://docs.example/{syll(3)}/plan for it.", f"Gate {d(3)} · Boarding {d(2)}:{d(2)} · Row {d(3)}", f"The score was {d(3)}:{d(3)} after extra time.", f"Please rename {made()} and leave room {d(3)} in the way.", f"The street team took {d(2)} copies on the way to the court.", f"Ms in the {made()} file means manuscript.", f"v{d(1)}.{d(3)}.{d(1)} (build {d(3)})", f"For {made()}, the review takes place in room {d(3)} at {d(1)} pm.", f"The review takes place in hall {d(1)} by {d(1)}:30 pm.", f"For {made()}, the review takes place in the {syll(2)} {rng.choice(['at', 'by', 'around'])} {d(1)}{rng.choice(['', ' pm', ':30 pm', '1'])}.", f"It takes place in lab B at {d(1)}.", f"It went via {made()} at {d(1)}, with {d(3)} copies on the way.", f"They drive {d(2)} copies to {made()} in row {d(2)}.", f"Room {d(3)}, Tuesdays {d(2)}:{d(2)}", f"{made()} rang at {d(2)}; the ring {d(2)} came late.", f"Please check the {made()} budget and leave the next one in desk {d(2)}."]
     parts, gold, at = [], [], 0
     for _ in range(rng.randint(1, 3)):
         if rng.random() < 0.4:
