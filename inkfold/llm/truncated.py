@@ -2,7 +2,7 @@
 
 A backward character n-gram model, trained on all different texts of the column, tells for the last letters of a text
 how often a text ended after them and how often it went on. Contexts of 1 to 24 letters are counted over every
-position of every text and interpolated from short to long; a text's own end is left out. A text is cut off where the
+position of every text and interpolated from short to long; a text's own end is left out, but a text of many copies counts as several. A text is cut off where the
 log-odds of ending fall below its language's and column's threshold, which lies in the widest valley of the group's
 own log-odds.
 
@@ -26,6 +26,9 @@ from inkfold.session import cut
 
 ORDERS = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 20, 24)
 WEIGHT = 6.0  # of the shorter context's estimate, in observations
+OFTEN = 8  # copies of a text that count as one more ending
+LABEL = 0.3  # least share of a label's occurrences that have its mark
+BITS = 22  # buckets of the bit map of last contexts: half a megabyte, whatever the corpus
 SEEN = 4  # observations that a context needs to be used
 NAME = "\x01"  # stands for a capitalised word that few texts hold
 RARE = 3000  # a word is common if it is in at least one of so many texts, so that common words are boundedly many
@@ -75,33 +78,52 @@ def shape(text: str, common: set[str], starts: set[str]) -> str:
     return _DIGIT.sub("0", _CAPITAL.sub(name, t))
 
 
-def context_hashes(shapes: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all contexts of one order, and whether each ends its text. Contexts do not cross texts."""
+def _settle(h: np.ndarray, order: int) -> np.ndarray:
+    """The hash of a context of one order, from the running hash of its letters."""
+    with np.errstate(over="ignore"):
+        h = (h ^ np.uint64(order * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * _P
+        return h ^ (h >> np.uint64(29))
+
+
+def _codes(shapes: list[str]) -> tuple[np.ndarray, np.ndarray]:
     n = np.array([len(s) for s in shapes], dtype=np.int64)
-    codes = np.frombuffer("".join(shapes).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    if not len(codes):
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
-    stop = np.cumsum(n)
-    first = np.repeat(stop - n, n)
-    at = np.arange(len(codes))
-    h = np.full(len(codes), order * 0x9E3779B97F4A7C15 & (1 << 64) - 1, dtype=np.uint64)
+    return np.frombuffer("".join(shapes).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64), n
+
+
+def _grow(h: np.ndarray, letter: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        for k in range(order):
-            here = at - k
-            ok = here >= first
-            h = np.where(ok, (h ^ codes[np.maximum(here, 0)]) * _P, h)
-            h ^= h >> np.uint64(32)
-    ends = np.zeros(len(codes), dtype=bool)
-    ends[stop[n > 0] - 1] = True
-    whole = at - order + 1 >= first
-    return h[whole], ends[whole]
+        h = (h ^ letter) * _P
+        return h ^ (h >> np.uint64(32))
 
 
-def _end_hash(s: str, order: int) -> int | None:
-    if len(s) < order:
-        return None
-    h, _ = context_hashes([s[-order:]], order)
-    return int(h[-1].astype(np.int64))
+def all_contexts(shapes: list[str], more: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each order, the hashes of all its contexts and how much each counts as an end: 0 inside a text, 1 and
+    ``more`` at its end. Contexts do not cross texts."""
+    codes, n = _codes(shapes)
+    stop = np.cumsum(n)
+    first = np.repeat(stop - n, n)
+    at = np.arange(len(codes))
+    ends = np.zeros(len(codes), dtype=np.int64)
+    ends[stop[n > 0] - 1] = 1 + more[n > 0]
+    h = np.zeros(len(codes), dtype=np.uint64)
+    for k in range(ORDERS[-1]):
+        whole = at - k >= first
+        at, first, ends, h = at[whole], first[whole], ends[whole], _grow(h[whole], codes[at[whole] - k])
+        if k + 1 in ORDERS:
+            yield k + 1, _settle(h, k + 1), ends
+
+
+def last_contexts(shapes: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each order, the ordinals of the texts that are long enough, and the hashes of their last contexts."""
+    codes, n = _codes(shapes)
+    end = np.cumsum(n) - 1
+    who, h = np.arange(len(n)), np.zeros(len(n), dtype=np.uint64)
+    for k in range(ORDERS[-1]):
+        long = n[who] > k
+        who, h = who[long], h[long]
+        h = _grow(h, codes[end[who] - k]) if len(who) else h
+        if k + 1 in ORDERS:
+            yield k + 1, who, _settle(h, k + 1)
 
 
 def common_words(texts: DataFrame) -> set[str]:
@@ -120,53 +142,60 @@ def truncated(values: DataFrame) -> DataFrame:
     keep = [c for c in values.columns if c not in ("row_id", "field", "value")]
     extra = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]) if keep else F.lit(None).cast("struct<c0:string>")
     rows = values.where(F.col("value").isNotNull() & (F.trim("value") != "")).select("row_id", "field", "value", extra.alias("extra"))
-    texts = cut(rows.select("field", F.col("value").alias("text")).distinct())
+    # a text's least row stands for it, so that texts are not carried about
+    texts = cut(rows.groupBy("field", F.col("value").alias("text")).agg(F.min("row_id").alias("id"), F.count(F.lit(1)).alias("copies")))
     words = common_words(texts)
     common = values.sparkSession.sparkContext.broadcast((words, {w[:i] for w in words for i in range(3, len(w))}))
 
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            shapes = [shape(t, *common.value) for t in b["text"]]
+            bare = [_MARK.sub("", s) for s in shapes]
+            mark = np.array([min(len(s) - len(x), 4) if len(x) > 1 else 0 for x, s in zip(bare, shapes)])
+            lang = np.array([language(t) for t in b["text"]], dtype=object)
+            for some, ids in ((shapes, np.arange(len(b))), ([x for x, m in zip(bare, mark) if m], np.nonzero(mark)[0])):
+                for order, who, h in last_contexts(some):
+                    row = b.iloc[ids[who]]
+                    yield pd.DataFrame({"field": row["field"].to_numpy(), "id": row["id"].to_numpy(), "lang": lang[ids[who]], "variant": mark[ids[who]] if some is not shapes else 0, "order": order, "h": h.view(np.int64)})
+
+    last = cut(texts.mapInPandas(ends, "field string, id long, lang string, variant int, order int, h long"))
+    # a bit map of fixed size tells which contexts end some text: only those are counted
+    wanted = np.zeros(1 << BITS, dtype=bool)
+    wanted[last.select(F.shiftrightunsigned("h", 64 - BITS).alias("b")).distinct().toPandas()["b"].to_numpy(dtype=np.int64)] = True
+    bitmap = values.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        use = np.unpackbits(bitmap.value).astype(bool)
         for b in batches:
             for field, some in b.groupby("field"):
-                shapes = [shape(t, *common.value) for t in some["text"]]
-                for order in ORDERS:
-                    h, ends = context_hashes(shapes, order)
-                    keys, at = np.unique(h, return_inverse=True)
-                    e = np.bincount(at, weights=ends, minlength=len(keys)).astype(np.int64)
-                    yield pd.DataFrame({"field": field, "h": keys.view(np.int64), "ended": e, "met": np.bincount(at, minlength=len(keys))})
+                size = np.cumsum(some["text"].str.len().to_numpy()) // 1_000_000
+                for piece in np.unique(size):
+                    part = some[size == piece]
+                    more = part["copies"].to_numpy() // OFTEN  # a text met often ends where it ends
+                    for _, h, stop in all_contexts([shape(t, *common.value) for t in part["text"]], more):
+                        hit = use[(h >> np.uint64(64 - BITS)).astype(np.int64)]
+                        keys, at = np.unique(h[hit], return_inverse=True)
+                        ended = np.bincount(at, weights=stop[hit], minlength=len(keys)).astype(np.int64)
+                        met = np.bincount(at, weights=np.maximum(stop[hit], 1), minlength=len(keys)).astype(np.int64)
+                        yield pd.DataFrame({"field": field, "h": keys.view(np.int64), "ended": ended, "met": met})
 
     counts = texts.mapInPandas(count, "field string, h long, ended long, met long").groupBy("field", "h").agg(F.sum("ended").alias("ended"), F.sum("met").alias("met")).where("met > 1")
-
-    def finals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for field, text in zip(b["field"], b["text"]):
-                s = shape(text, *common.value)
-                bare = _MARK.sub("", s)
-                lang = language(text)
-                for variant, t in enumerate([s] if bare == s or len(bare) < 2 else [s, bare]):
-                    for order in ORDERS:
-                        h = _end_hash(t, order)
-                        if h is not None:
-                            out.append((field, text, lang, variant, order, h))
-            yield pd.DataFrame(out, columns=["field", "text", "lang", "variant", "order", "h"])
-
-    last = texts.mapInPandas(finals, "field string, text string, lang string, variant int, order int, h long")
-    seen = last.join(counts, ["field", "h"], "left").groupBy("field", "text", "lang").agg(F.sort_array(F.collect_list(F.struct("variant", "order", F.coalesce("ended", F.lit(0)).alias("ended"), F.coalesce("met", F.lit(0)).alias("met")))).alias("seen"))
+    seen = last.join(counts, ["field", "h"], "left").groupBy("field", "id", "lang").agg(F.sort_array(F.collect_list(F.struct("variant", "order", F.coalesce("ended", F.lit(0)).alias("ended"), F.coalesce("met", F.lit(0)).alias("met")))).alias("seen"))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b["log_odds"] = [odds(s) for s in b["seen"]]
-            yield b[["field", "text", "lang", "log_odds"]]
+            yield b[["field", "id", "lang", "log_odds"]]
 
-    scored = cut(seen.mapInPandas(judge, "field string, text string, lang string, log_odds double"))
     # a final stop, a closing sign or an emoji ends a text, unless it belongs to the mark of a cut
     closed = F.rtrim("text").rlike(CLOSING) & ~F.rtrim("text").rlike(OPEN)
-    bins = scored.where(~closed).groupBy("field", "lang", F.floor(F.col("log_odds") * 5).alias("bin")).count().toPandas()
+    scored = cut(seen.mapInPandas(judge, "field string, id long, lang string, log_odds double").join(texts.select("field", "id", "text"), ["field", "id"]).select("field", "text", "lang", "log_odds", closed.alias("closed")))
+    bins = scored.where("not closed").groupBy("field", "lang", F.floor(F.col("log_odds") * 5).alias("bin")).count().toPandas()
     limits = {k: threshold(g) for k, g in bins.groupby(["field", "lang"])}
     case = F.lit(DEFAULT)
     for (field, lang), limit in limits.items():
         case = F.when((F.col("field") == field) & (F.col("lang") == lang), limit).otherwise(case)
-    bad = scored.where(F.col("log_odds") < case).where(~closed)
+    bad = scored.where(F.col("log_odds") < case).where("not closed")
     out = rows.join(bad, (rows["field"] == bad["field"]) & (rows["value"] == bad["text"])).select("row_id", rows["field"], "value", F.col("lang").alias("language"), "log_odds", "extra")
     return out.select("row_id", "field", "value", "language", "log_odds", *[F.col(f"extra.c{i}").alias(c) for i, c in enumerate(keep)])
 
@@ -174,10 +203,12 @@ def truncated(values: DataFrame) -> DataFrame:
 def odds(seen) -> float:
     """Log-odds of ending, from the counts of a text's last contexts, short to long, without the text itself."""
     own = [s for s in seen if s["variant"] == 0]
-    bare = [s for s in seen if s["variant"] == 1]
+    bare = [s for s in seen if s["variant"] > 0]
     if bare:
-        known = [s for s in own if s["met"] - 1 >= 2]
-        if known and max(s["order"] for s in known) >= 5:
+        # a mark belongs to a label if its letters seldom go on without it
+        short = max((s for s in bare if s["order"] <= 6), key=lambda s: s["order"], default=None)
+        with_mark = {s["order"]: s["met"] for s in own}.get(short["order"] + short["variant"], 0) if short else 0
+        if with_mark > 3 and with_mark >= LABEL * short["met"]:
             bare = []
     p = 0.02
     for s in bare or own:
