@@ -11,6 +11,7 @@ from inkfold.functions import distance as D
 from inkfold.functions import edits as E
 from inkfold.functions import text as T
 from inkfold.operators import augment as A
+from inkfold.operators import corpus as C
 from inkfold.operators import dedupe as DD
 from inkfold.operators import lexical as L
 from inkfold.operators import patterns as P
@@ -490,6 +491,50 @@ def fixture_lookup_fallback(spark, sf):
     return P.lookup(b, entries, "burst_id", probes, ["draft", "model_variant", "ctx"], "entry").select("burst_id", "probe", "entry", "committed")
 
 
+# ---- rows of a corpus ----------------------------------------------------------------------------------------------
+
+_ONE = lambda f, n: f"substr(trim(regexp_replace(input.context_snippets[1].{f}, '\\s+', ' ', 'g')), 1, {n})"
+
+
+@query(f"""select row_id, nullif({_ONE('app_name', 80)}, '') as app_name, coalesce(nullif({_ONE('visible_text', 240)}, ''), nullif({_ONE('window_title', 120)}, '')) as visible_text, nullif({_ONE('window_title', 120)}, '') as window_title
+  from context where input.context_snippets[1] is not null""")
+def bounded_snippets(spark, sf):
+    r = table(spark, sf, "context").select("row_id", C.bounded_snippet(F.col("input.context_snippets")).alias("s"))
+    return r.where("s is not null").select("row_id", "s.*")
+
+
+@query(f"select row_id, case when len(string_split(source_record_id, ':')) >= 5 then string_split(source_record_id, ':')[2] end as part, case when len(string_split(source_record_id, ':')) >= 5 then string_split(source_record_id, ':')[3] end as id from {CONTEXT}")
+def record_parts(spark, sf):
+    return context(spark, sf).select("row_id", C.source_parts(F.col("source_record_id")).alias("p")).select("row_id", F.col("p.partition").alias("part"), "p.id")
+
+
+@query(f"select row_id, 'draft:' || substr(sha256({FOLD.format('text')}), 1, 20) as family from {CONTEXT} where text is not null")
+def draft_families(spark, sf):
+    return context(spark, sf).where("text is not null").select("row_id", C.family_of(F.col("text"), "draft:").alias("family"))
+
+
+@query()
+def content_ids(spark, sf):
+    rows = context(spark, sf).drop("example_id").select("row_id", "text", "suggestion", "category", "source_dataset", "target_changed")
+    return C.training_rows(rows, ["text", "suggestion", "category", "source_dataset", "target_changed"]).select("row_id", "example_id")
+
+
+@query()
+def model_inputs(spark, sf):
+    return table(spark, sf, "context").select("row_id", C.model_input(F.col("input.text"), C.bounded_context(F.col("input.context_snippets"))).alias("model_input"))
+
+
+@query()
+def filled_splits(spark, sf):
+    f = context(spark, sf).where("family_id is not null").groupBy("family_id").agg(F.count(F.lit(1)).alias("n"))
+    return C.fill_splits(f, "family_id", "n", {"train": 0.8, "eval": 0.1, "test": 0.1}, "fill")
+
+
+@query()
+def rotating_references(spark, sf):
+    return C.rotating(table(spark, sf, "utterances").where("id is not null"), "id", "round-1").select("id")
+
+
 # ---- events and streams --------------------------------------------------------------------------------------------
 
 
