@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkfold.functions import text as T
+from inkfold.operators.sampling import numbered
 
 # Characters kept of a context snippet's fields.
 BOUNDS = {"app_name": 80, "window_title": 120, "visible_text": 240}
@@ -87,10 +88,8 @@ def fill_splits(families: DataFrame, key: str, size: str, shares: dict[str, floa
 
 def rotating(rows: DataFrame, order: str, seed: str, size: int = 16) -> DataFrame:
     """``size`` rows in a row of an order, from an offset that the seed decides, around its end."""
-    from pyspark.sql import Window as W
-
     n = rows.agg(F.count(F.lit(1)).alias("_n"))
-    at = rows.withColumn("_i", F.row_number().over(W.orderBy(order)) - 1).join(F.broadcast(n))  # n is one row
+    at = numbered(rows, [order], "_i").join(F.broadcast(n))  # n is one row
     start = F.pmod(F.xxhash64(F.lit(seed)), F.greatest("_n", F.lit(1)))
     return at.where(F.pmod(F.col("_i") - start, F.greatest("_n", F.lit(1))) < size).drop("_i", "_n")
 

@@ -6,12 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkfold.session import cut
+
 
 def place(seed: str, key: Column) -> Column:
     """A row's place in a seeded shuffle: the same in every run and partitioning."""
     return F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256)
 
 
+def laid_out(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` in order over range partitions, fixed by a lineage cut, with ``_part`` and the place ``_at`` in it."""
+    s = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    m = F.monotonically_increasing_id()
+    return cut(s.select("*", F.shiftright(m, 33).cast("int").alias("_part"), m.bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")))
+
+
+def numbered(rows: DataFrame, order: list[str], out: str) -> DataFrame:
+    """``rows`` with their ordinal from 0 in an order, without bringing them into one task: only the partitions'
+    counts are summed up, and those are as many as partitions."""
+    s = laid_out(rows, order)
+    counts = s.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return s.join(F.broadcast(before), "_part").withColumn(out, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
 def largest_remainder(groups: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """``(key, allocated)``: ``total`` shared out by weight, the rest by largest remainder, ties by key. Groups are few."""
     everything = W.partitionBy()
@@ -61,8 +79,7 @@ def bucketed(rows: DataFrame, strata: list[str], order: list[Column], quotas: Da
 
 def systematic(rows: DataFrame, order: list[str], step: int, size: int) -> DataFrame:
     """Every ``step``-th row of an order, ``size`` at most."""
-    w = W.orderBy(*order)
-    return rows.withColumn("_i", F.row_number().over(w) - 1).where((F.col("_i") % step == 0) & (F.col("_i") < step * size)).drop("_i")
+    return numbered(rows, order, "_i").where((F.col("_i") % step == 0) & (F.col("_i") < step * size)).drop("_i")
 
 
 def hash_split(rows: DataFrame, key: str, shares: dict[str, float], seed: str, out: str = "split") -> DataFrame:

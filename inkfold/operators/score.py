@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from inkfold.functions import text as T
 from inkfold.functions.distance import ratio_of
 from inkfold.operators.rules import suggestion_of
+from inkfold.operators.sampling import laid_out
 
 BATCH = 5
 # The parts of a completion's score.
@@ -148,14 +149,17 @@ def runtime_summary(predictions: DataFrame, by: str) -> DataFrame:
 def frontier(points: DataFrame, key: str, good: str, cost: str) -> DataFrame:
     """Points that no other beats: none with as much good at as little cost and one of them better.
 
-    One pass in cost order: a point stays if its good is above the best of all cheaper ones and the best at its cost.
-    Costs are first reduced to the best good of each, so ties and repeated points stay together.
+    In cost order, a point stays if its good is above the best of all cheaper ones and the best at its cost. Costs are
+    first reduced to the best good of each, so ties and repeated points stay together. The running best is taken in
+    range partitions and over the partitions' own bests, so no task sees all costs.
     """
     p = points.where(F.col(good).isNotNull() & F.col(cost).isNotNull())
-    best = p.groupBy(cost).agg(F.max(good).alias("_best"))
-    w = W.orderBy(cost).rowsBetween(W.unboundedPreceding, -1)
-    best = best.withColumn("_before", F.max("_best").over(w))
-    return p.join(best.where("_before is null or _best > _before"), cost).where(F.col(good) == F.col("_best")).select(key, good, cost)
+    best = laid_out(p.groupBy(cost).agg(F.max(good).alias("_best")), [cost])
+    parts = best.groupBy("_part").agg(F.max("_best").alias("_m"))
+    over = parts.select("_part", F.max("_m").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)).alias("_over"))
+    inside = F.max("_best").over(W.partitionBy("_part").orderBy("_at").rowsBetween(W.unboundedPreceding, -1))
+    best = best.withColumn("_inside", inside).join(F.broadcast(over), "_part").withColumn("_before", F.greatest("_inside", "_over"))
+    return p.join(best.where("_before is null or _best > _before").select(cost, "_best"), cost).where(F.col(good) == F.col("_best")).select(key, good, cost)
 
 
 def verdict(quality: Column, meaning: Column, tone: Column, minimality: Column, acceptable: Column) -> Column:
