@@ -13,6 +13,7 @@ replacement character, a bracketed note) is taken off when the model has not met
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,7 @@ DEFAULT, LOW, HIGH, ENOUGH = -2.6, -3.6, -1.8, 500  # threshold of small groups;
 CLOSING = r"(?:[.!?。！？]|\p{Pe}|\p{Pf}|[\"'»]|\p{So}\uFE0F?|\p{Sk})$"
 OPEN = r"(?i)(?:…|\.\.+|\uFFFD|[\[(<]+\s*(?:…|\.\.\.|truncated|cut|snip|more|continued|gekürzt|tronqué|cortado)[^\])>]*[\])>]*)$"
 _CAPITAL = regex.compile(r"\p{Lu}[\p{L}\p{M}]*")
+_CAPITAL_ASCII, _DIGIT_ASCII = re.compile(r"[A-Z][A-Za-z]*"), re.compile(r"[0-9]+")
 _DIGIT = regex.compile(r"\p{Nd}+")
 _MARK = regex.compile(r"(?:\s*(?:…|\.\.\.+|�+|[\[(<]+\s*(?:…|\.\.\.|truncated|cut|snip|more|continued|gekürzt|tronqué|cortado)[^\])>]*[\])>]*))+\s*$", regex.I)
 _P = np.uint64(0x100000001B3)
@@ -75,6 +77,8 @@ def shape(text: str, common: set[str], starts: set[str]) -> str:
         # a word that breaks off as the start of a common one is no name
         return w if w in common or (m.end() == len(t) and w in starts) else NAME
 
+    if t.isascii():
+        return _DIGIT_ASCII.sub("0", _CAPITAL_ASCII.sub(name, t))
     return _DIGIT.sub("0", _CAPITAL.sub(name, t))
 
 
@@ -147,18 +151,26 @@ def truncated(values: DataFrame) -> DataFrame:
     words = common_words(texts)
     common = values.sparkSession.sparkContext.broadcast((words, {w[:i] for w in words for i in range(3, len(w))}))
 
+    def shapes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            lang = [language(t) for t in b["text"]]
+            b["text"] = [shape(t, *common.value) for t in b["text"]]
+            yield b.rename(columns={"text": "shape"}).assign(lang=lang)
+
+    shaped = cut(texts.mapInPandas(shapes_of, "field string, shape string, id long, copies long, lang string"))
+
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            shapes = [shape(t, *common.value) for t in b["text"]]
+            shapes = b["shape"].tolist()
             bare = [_MARK.sub("", s) for s in shapes]
             mark = np.array([min(len(s) - len(x), 4) if len(x) > 1 else 0 for x, s in zip(bare, shapes)])
-            lang = np.array([language(t) for t in b["text"]], dtype=object)
+            lang = b["lang"].to_numpy()
             for some, ids in ((shapes, np.arange(len(b))), ([x for x, m in zip(bare, mark) if m], np.nonzero(mark)[0])):
                 for order, who, h in last_contexts(some):
                     row = b.iloc[ids[who]]
                     yield pd.DataFrame({"field": row["field"].to_numpy(), "id": row["id"].to_numpy(), "lang": lang[ids[who]], "variant": mark[ids[who]] if some is not shapes else 0, "order": order, "h": h.view(np.int64)})
 
-    last = cut(texts.mapInPandas(ends, "field string, id long, lang string, variant int, order int, h long"))
+    last = cut(shaped.mapInPandas(ends, "field string, id long, lang string, variant int, order int, h long"))
     # a bit map of fixed size tells which contexts end some text: only those are counted
     wanted = np.zeros(1 << BITS, dtype=bool)
     wanted[last.select(F.shiftrightunsigned("h", 64 - BITS).alias("b")).distinct().toPandas()["b"].to_numpy(dtype=np.int64)] = True
@@ -168,18 +180,18 @@ def truncated(values: DataFrame) -> DataFrame:
         use = np.unpackbits(bitmap.value).astype(bool)
         for b in batches:
             for field, some in b.groupby("field"):
-                size = np.cumsum(some["text"].str.len().to_numpy()) // 1_000_000
+                size = np.cumsum(some["shape"].str.len().to_numpy()) // 1_000_000
                 for piece in np.unique(size):
                     part = some[size == piece]
                     more = part["copies"].to_numpy() // OFTEN  # a text met often ends where it ends
-                    for _, h, stop in all_contexts([shape(t, *common.value) for t in part["text"]], more):
+                    for _, h, stop in all_contexts(part["shape"].tolist(), more):
                         hit = use[(h >> np.uint64(64 - BITS)).astype(np.int64)]
                         keys, at = np.unique(h[hit], return_inverse=True)
                         ended = np.bincount(at, weights=stop[hit], minlength=len(keys)).astype(np.int64)
                         met = np.bincount(at, weights=np.maximum(stop[hit], 1), minlength=len(keys)).astype(np.int64)
                         yield pd.DataFrame({"field": field, "h": keys.view(np.int64), "ended": ended, "met": met})
 
-    counts = texts.mapInPandas(count, "field string, h long, ended long, met long").groupBy("field", "h").agg(F.sum("ended").alias("ended"), F.sum("met").alias("met")).where("met > 1")
+    counts = shaped.mapInPandas(count, "field string, h long, ended long, met long").groupBy("field", "h").agg(F.sum("ended").alias("ended"), F.sum("met").alias("met")).where("met > 1")
     seen = last.join(counts, ["field", "h"], "left").groupBy("field", "id", "lang").agg(F.sort_array(F.collect_list(F.struct("variant", "order", F.coalesce("ended", F.lit(0)).alias("ended"), F.coalesce("met", F.lit(0)).alias("met")))).alias("seen"))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
