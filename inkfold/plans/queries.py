@@ -15,6 +15,7 @@ from inkfold.operators import corpus as C
 from inkfold.operators import dedupe as DD
 from inkfold.operators import lexical as L
 from inkfold.operators import patterns as P
+from inkfold.operators import planning as PL
 from inkfold.operators import profile as PR
 from inkfold.operators import quality as Q
 from inkfold.operators import rules as R
@@ -222,6 +223,28 @@ def pending_judgments(spark, sf):
     return c.join(table(spark, sf, "judgments").select("candidate_id"), "candidate_id", "left_anti")
 
 
+_SC = "[" + ", ".join(f"coalesce(j.scores.{d}, 0)" for d in R.DIMENSIONS) + "]"
+_JUDGED = "(select distinct candidate_id, category, context_behavior from synthetic_candidates where candidate_id is not null)"
+
+
+def _judged(spark, sf):
+    c = table(spark, sf, "synthetic_candidates").where("candidate_id is not null").select("candidate_id", "category", "context_behavior").distinct()
+    return PL.by_quality(c.join(table(spark, sf, "judgments").select("candidate_id", "scores"), "candidate_id"), ["category", "context_behavior"])
+
+
+@query(f"""select candidate_id, category, context_behavior, row_number() over (partition by category, context_behavior order by list_min({_SC}) desc, list_sum({_SC}) desc, coalesce(j.scores.dataset_value, 0) desc, coalesce(j.scores.context_grounding, 0) desc, candidate_id) as rank
+  from {_JUDGED} c join judgments j using (candidate_id)""")
+def quality_order(spark, sf):
+    return _judged(spark, sf).select("candidate_id", "category", "context_behavior", F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def deficit_selection(spark, sf):
+    """A selection of 100 candidates of even categories."""
+    want = {c: 25 for c in ("context_disambiguation", "context_preservation", "context_register", "context_entity")}
+    return PL.select(_judged(spark, sf), ["category", "context_behavior"], [want, {}], 100).select("candidate_id", "category", "context_behavior")
+
+
 # ---- scoring -------------------------------------------------------------------------------------------------------
 
 
