@@ -32,9 +32,11 @@ LABEL = 0.3  # least share of a label's occurrences that have its mark
 BITS = 22  # buckets of the bit map of last contexts: half a megabyte, whatever the corpus
 SEEN = 4  # observations that a context needs to be used
 NAME = "\x01"  # stands for a capitalised word that few texts hold
-RARE = 3000  # a word is common if it is in at least one of so many texts, so that common words are boundedly many
-LEAST = 8  # and in at least so many texts
-DEFAULT, LOW, HIGH, ENOUGH = -2.6, -3.6, -1.8, 500  # threshold of small groups; range and least size of others
+RARE = 375  # a word is common if it is in at least one of so many texts, so that common words are boundedly many
+LEAST = 2  # and in at least so many texts: a word met once tells nothing
+CENTRE, LOW, HIGH = -2.6, -3.6, -1.8  # where thresholds lie without evidence, and their range
+POOLED = 500.0  # texts that the whole field counts for in the histogram of each of its groups
+PULL = 0.002  # share of a group's texts that a threshold one unit off the centre must save
 CLOSING = r"(?:[.!?。！？]|\p{Pe}|\p{Pf}|[\"'»]|\p{So}\uFE0F?|\p{Sk})$"
 OPEN = r"(?i)(?:…|\.\.+|\uFFFD|[\[(<]+\s*(?:…|\.\.\.|truncated|cut|snip|more|continued|gekürzt|tronqué|cortado)[^\])>]*[\])>]*)$"
 _CAPITAL = regex.compile(r"\p{Lu}[\p{L}\p{M}]*")
@@ -131,8 +133,9 @@ def last_contexts(shapes: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarr
 
 
 def common_words(texts: DataFrame) -> set[str]:
-    """Capitalised words of at least ``LEAST`` texts and one in ``RARE``: at most RARE times a text's words are many."""
-    least = max(LEAST, texts.count() // RARE)
+    """Capitalised words of at least one in ``RARE`` texts, and ``LEAST``: at most RARE times a text's words are many.
+    The share is the same at every size, so that more texts of a kind do not change what is common."""
+    least = max(LEAST, -(-texts.count() // RARE))
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{Lu}[\p{L}\p{M}]*"), F.lit(0)))).alias("w"))
     return {r["w"] for r in words.groupBy("w").count().where(F.col("count") >= least).select("w").toLocalIterator()}
 
@@ -203,8 +206,9 @@ def truncated(values: DataFrame) -> DataFrame:
     closed = F.rtrim("text").rlike(CLOSING) & ~F.rtrim("text").rlike(OPEN)
     scored = cut(seen.mapInPandas(judge, "field string, id long, lang string, log_odds double").join(texts.select("field", "id", "text"), ["field", "id"]).select("field", "text", "lang", "log_odds", closed.alias("closed")))
     bins = scored.where("not closed").groupBy("field", "lang", F.floor(F.col("log_odds") * 5).alias("bin")).count().toPandas()
-    limits = {k: threshold(g) for k, g in bins.groupby(["field", "lang"])}
-    case = F.lit(DEFAULT)
+    pooled = {k: g.groupby("bin", as_index=False)["count"].sum() for k, g in bins.groupby("field")}
+    limits = {k: threshold(g, pooled[k[0]]) for k, g in bins.groupby(["field", "lang"])}
+    case = F.lit(CENTRE)
     for (field, lang), limit in limits.items():
         case = F.when((F.col("field") == field) & (F.col("lang") == lang), limit).otherwise(case)
     bad = scored.where(F.col("log_odds") < case).where("not closed")
@@ -232,15 +236,20 @@ def odds(seen) -> float:
     return float(np.log(p / (1 - p)))
 
 
-def threshold(bins: pd.DataFrame) -> float:
-    """The emptiest place between ``LOW`` and ``HIGH`` of a group's log-odds; ``DEFAULT`` for small groups."""
-    if bins["count"].sum() < ENOUGH:
-        return DEFAULT
-    n = dict(zip(bins["bin"], bins["count"]))
+def threshold(bins: pd.DataFrame, pooled: pd.DataFrame) -> float:
+    """The emptiest place between ``LOW`` and ``HIGH`` of a group's log-odds, by one rule at every size.
+
+    Shares count, not numbers: the group's histogram, to which the whole field adds as ``POOLED`` texts, plus a slight
+    pull to ``CENTRE``, which settles empty histograms.
+    """
+
+    def shares(h: pd.DataFrame) -> dict[int, float]:
+        return dict(zip(h["bin"], h["count"] / max(1, h["count"].sum())))
+
+    own, field, size = shares(bins), shares(pooled), float(bins["count"].sum())
+    share = {b: (own.get(b, 0.0) * size + p * POOLED) / (size + POOLED) for b, p in field.items()}
     spots = range(int(np.floor(LOW * 5)), int(np.floor(HIGH * 5)))
-    flat = {s: sum(n.get(s + d, 0) for d in (-1, 0, 1)) for s in spots}
-    least = min(flat.values())
-    return float(np.median([s for s, v in flat.items() if v <= least * 1.1]) + 0.5) / 5
+    return (min(spots, key=lambda s: sum(share.get(s + d, 0.0) for d in (-1, 0, 1)) + PULL * ((s + 0.5) / 5 - CENTRE) ** 2) + 0.5) / 5
 
 
 def truncation_report(values: DataFrame) -> DataFrame:

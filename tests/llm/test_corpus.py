@@ -1,6 +1,8 @@
 import os
 import random
+from collections import Counter
 
+import pandas as pd
 import pytest
 
 from inkfold.llm import garbled as G
@@ -127,6 +129,27 @@ def test_truncation(spark):
     assert TR.truncated(df.drop("log_odds").limit(0)).count() == 0
 
 
+def _bins(values):
+    return pd.DataFrame(sorted(Counter(int(v * 5 // 1) for v in values).items()), columns=["bin", "count"])
+
+
+def test_threshold_does_not_switch_by_size():
+    rng = random.Random(4)
+    some = [rng.gauss(-6.5, 1.0) for _ in range(60)] + [rng.uniform(-3.6, -2.2) for _ in range(25)] + [rng.gauss(1.5, 0.9) for _ in range(315)]
+    limits = {TR.threshold(_bins(some * n), _bins(some * n)) for n in (1, 10, 100)}
+    assert len(limits) == 1 and -2.3 < limits.pop() <= TR.HIGH  # the valley, not the centre, at each size
+    none = pd.DataFrame({"bin": [], "count": []})
+    assert abs(TR.threshold(none, none) - TR.CENTRE) < 0.11  # half a bin
+    few = TR.threshold(_bins([-3.1] * 5), _bins(some * 10))
+    assert abs(few - TR.threshold(_bins(some), _bins(some * 10))) < 0.5  # a small group follows its field
+
+
+def test_common_words_keep_their_share(spark):
+    words = ["Alpha", "Beta"]
+    texts = lambda n: spark.createDataFrame([(f"{words[0] if i % 50 == 0 else ''} {words[1] if i % 400 == 0 else ''} text {i}",) for i in range(n)], "text string")
+    assert TR.common_words(texts(400)) == TR.common_words(texts(4000)) == {"Alpha"}
+
+
 def test_stable_sample_keeps_members(spark):
     rows = [(f"f{i % 90}", f"e{i}") for i in range(2000)] + [(None, "e"), ("f", None), ("", "")]
     df = spark.createDataFrame(rows, "family_id string, example_id string")
