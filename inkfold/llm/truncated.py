@@ -2,8 +2,8 @@
 
 A backward character n-gram model, trained on all different texts of the column, tells for the last letters of a text
 how often a text ended after them and how often it went on. Contexts of 1 to 24 letters are counted over every
-position of every text and interpolated from short to long; a text's own end is left out, but a text of many copies counts as several. A text is cut off where the
-log-odds of ending fall below its language's and column's threshold, which lies in the widest valley of the group's
+position of every different text, however often it occurs, and interpolated from short to long; a text's own end is
+left out. A text is cut off where the log-odds of ending fall below its language's and column's threshold, which lies in the widest valley of the group's
 own log-odds.
 
 Before counting, texts are brought to their one form (see ``lookalike``), numbers become 0 and capitalised words that
@@ -27,8 +27,8 @@ from inkfold.session import cut
 
 ORDERS = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 20, 24)
 WEIGHT = 6.0  # of the shorter context's estimate, in observations
-OFTEN = 8  # copies of a text that count as one more ending
 LABEL = 0.3  # least share of a label's occurrences that have its mark
+OFTEN = 8  # copies that make a label of a text short enough for one context, if its letters seldom go on elsewhere
 BITS = 22  # buckets of the bit map of last contexts: half a megabyte, whatever the corpus
 SEEN = 4  # observations that a context needs to be used
 NAME = "\x01"  # stands for a capitalised word that few texts hold
@@ -102,15 +102,14 @@ def _grow(h: np.ndarray, letter: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
-def all_contexts(shapes: list[str], more: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each order, the hashes of all its contexts and how much each counts as an end: 0 inside a text, 1 and
-    ``more`` at its end. Contexts do not cross texts."""
+def all_contexts(shapes: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each order, the hashes of all its contexts and whether each is an end. Contexts do not cross texts."""
     codes, n = _codes(shapes)
     stop = np.cumsum(n)
     first = np.repeat(stop - n, n)
     at = np.arange(len(codes))
     ends = np.zeros(len(codes), dtype=np.int64)
-    ends[stop[n > 0] - 1] = 1 + more[n > 0]
+    ends[stop[n > 0] - 1] = 1
     h = np.zeros(len(codes), dtype=np.uint64)
     for k in range(ORDERS[-1]):
         whole = at - k >= first
@@ -168,12 +167,13 @@ def truncated(values: DataFrame) -> DataFrame:
             bare = [_MARK.sub("", s) for s in shapes]
             mark = np.array([min(len(s) - len(x), 4) if len(x) > 1 else 0 for x, s in zip(bare, shapes)])
             lang = b["lang"].to_numpy()
+            label = np.array([len(x if len(x) > 1 else s) <= ORDERS[-1] for x, s in zip(bare, shapes)], dtype=bool) & (b["copies"].to_numpy() >= OFTEN)
             for some, ids in ((shapes, np.arange(len(b))), ([x for x, m in zip(bare, mark) if m], np.nonzero(mark)[0])):
                 for order, who, h in last_contexts(some):
                     row = b.iloc[ids[who]]
-                    yield pd.DataFrame({"field": row["field"].to_numpy(), "id": row["id"].to_numpy(), "lang": lang[ids[who]], "variant": mark[ids[who]] if some is not shapes else 0, "order": order, "h": h.view(np.int64)})
+                    yield pd.DataFrame({"field": row["field"].to_numpy(), "id": row["id"].to_numpy(), "lang": lang[ids[who]], "label": label[ids[who]], "variant": mark[ids[who]] if some is not shapes else 0, "order": order, "h": h.view(np.int64)})
 
-    last = cut(shaped.mapInPandas(ends, "field string, id long, lang string, variant int, order int, h long"))
+    last = cut(shaped.mapInPandas(ends, "field string, id long, lang string, label boolean, variant int, order int, h long"))
     # a bit map of fixed size tells which contexts end some text: only those are counted
     wanted = np.zeros(1 << BITS, dtype=bool)
     wanted[last.select(F.shiftrightunsigned("h", 64 - BITS).alias("b")).distinct().toPandas()["b"].to_numpy(dtype=np.int64)] = True
@@ -186,20 +186,19 @@ def truncated(values: DataFrame) -> DataFrame:
                 size = np.cumsum(some["shape"].str.len().to_numpy()) // 1_000_000
                 for piece in np.unique(size):
                     part = some[size == piece]
-                    more = part["copies"].to_numpy() // OFTEN  # a text met often ends where it ends
-                    for _, h, stop in all_contexts(part["shape"].tolist(), more):
+                    for _, h, stop in all_contexts(part["shape"].tolist()):
                         hit = use[(h >> np.uint64(64 - BITS)).astype(np.int64)]
                         keys, at = np.unique(h[hit], return_inverse=True)
                         ended = np.bincount(at, weights=stop[hit], minlength=len(keys)).astype(np.int64)
-                        met = np.bincount(at, weights=np.maximum(stop[hit], 1), minlength=len(keys)).astype(np.int64)
+                        met = np.bincount(at, minlength=len(keys))
                         yield pd.DataFrame({"field": field, "h": keys.view(np.int64), "ended": ended, "met": met})
 
     counts = shaped.mapInPandas(count, "field string, h long, ended long, met long").groupBy("field", "h").agg(F.sum("ended").alias("ended"), F.sum("met").alias("met")).where("met > 1")
-    seen = last.join(counts, ["field", "h"], "left").groupBy("field", "id", "lang").agg(F.sort_array(F.collect_list(F.struct("variant", "order", F.coalesce("ended", F.lit(0)).alias("ended"), F.coalesce("met", F.lit(0)).alias("met")))).alias("seen"))
+    seen = last.join(counts, ["field", "h"], "left").groupBy("field", "id", "lang", "label").agg(F.sort_array(F.collect_list(F.struct("variant", "order", F.coalesce("ended", F.lit(0)).alias("ended"), F.coalesce("met", F.lit(0)).alias("met")))).alias("seen"))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["log_odds"] = [odds(s) for s in b["seen"]]
+            b["log_odds"] = [odds(s, label) for s, label in zip(b["seen"], b["label"])]
             yield b[["field", "id", "lang", "log_odds"]]
 
     # a final stop, a closing sign or an emoji ends a text, unless it belongs to the mark of a cut
@@ -216,14 +215,20 @@ def truncated(values: DataFrame) -> DataFrame:
     return out.select("row_id", "field", "value", "language", "log_odds", *[F.col(f"extra.c{i}").alias(c) for i, c in enumerate(keep)])
 
 
-def odds(seen) -> float:
-    """Log-odds of ending, from the counts of a text's last contexts, short to long, without the text itself."""
+def odds(seen, label: bool = False) -> float:
+    """Log-odds of ending, from the counts of a text's last contexts, short to long, without the text itself.
+    ``label``: a short text of many copies, which is whole unless its letters mostly go on in other texts."""
     own = [s for s in seen if s["variant"] == 0]
     bare = [s for s in seen if s["variant"] > 0]
+    marked = {s["order"]: s["met"] for s in own}
+    if label:
+        whole = max(bare or own, key=lambda s: s["order"])
+        if max(1, marked.get(whole["order"] + whole["variant"], 0) if bare else whole["ended"]) >= LABEL * whole["met"]:
+            return 0.0
     if bare:
         # a mark belongs to a label if its letters seldom go on without it
         short = max((s for s in bare if s["order"] <= 6), key=lambda s: s["order"], default=None)
-        with_mark = {s["order"]: s["met"] for s in own}.get(short["order"] + short["variant"], 0) if short else 0
+        with_mark = marked.get(short["order"] + short["variant"], 0) if short else 0
         if with_mark > 3 and with_mark >= LABEL * short["met"]:
             bare = []
     p = 0.02

@@ -150,6 +150,17 @@ def test_common_words_keep_their_share(spark):
     assert TR.common_words(texts(400)) == TR.common_words(texts(4000)) == {"Alpha"}
 
 
+def test_truncation_of_repeated_texts(spark):
+    rng = random.Random(9)
+    nouns = "report invoice ledger memo budget agenda glossary template".split()
+    texts = [f"Please send the {rng.choice(nouns)} for room {i} to the {rng.choice(nouns)} team by {rng.choice(['Monday', 'Friday'])}." for i in range(800)]
+    cuts = ["Please send the report for room 7 to the inv", "Please send the memo for room 9 to the led…", "Please send the bud"]
+    rows = list(enumerate(texts + cuts * 1000 + ["Loading…", "Status: spare"] * 1000))
+    df = spark.createDataFrame([(i, "v", t) for i, t in rows], "row_id long, field string, value string")
+    got = Counter(r.value for r in TR.truncated(df).collect())
+    assert got == {c: 1000 for c in cuts}
+
+
 def test_stable_sample_keeps_members(spark):
     rows = [(f"f{i % 90}", f"e{i}") for i in range(2000)] + [(None, "e"), ("f", None), ("", "")]
     df = spark.createDataFrame(rows, "family_id string, example_id string")
