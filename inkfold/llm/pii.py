@@ -46,7 +46,8 @@ STREET_END = ("straße", "strasse", "str.", "weg", "platz", "allee", "gasse", "r
 PHONE_CUES = "call tel telephone phone mobile cell text sms voicemail fax number whatsapp dial ring hotline anruf telefon teléfono téléphone тел".split()
 ID_CUES = "ssn social security insurance passport licence license identity identification id tax dni nie nif personalausweis ausweis reisepass steuer sécurité sociale pasaporte cpf pesel паспорт инн снилс ni nino itin".split()
 OTHER_CUES = "meeting order ticket build serial invoice room gate row tracking code version error ref reference score page pages costs total copies boarding fig item items unread".split()
-NAME_CUES = "signed by regards attendees ask talked to from with profile calendar dear hi hello contact author sincerely met".split()
+NAME_CUES = "signed by regards attendees ask talked to from with profile calendar dear hi hello contact author sincerely met подписал подписала участники спросите уважением писал звонил von unterschrieben gruß grüße par signé cordialement firmado por saludos atentamente assinado".split()
+NAME_NEXT = "will can could wrote said asked profile calendar joined left sent agreed и просит".split()  # words after a name
 SURNAME_ENDS = "thorpe leigh ley bery by grove croft wick drake shaw stone man mere ridge rick lund vane den sey holm well quist marsh worth varth son sen ez ov ova ski ska berg feld mann gate side more field ton ham ford".split()
 
 _WORD = r"[\p{L}\p{M}’'\-]+"
@@ -63,6 +64,7 @@ _LOOSE = {
         regex.I,
     ),
     "name": regex.compile(rf"(?<![\p{{L}}@.+_\-]){_WORD}\.?,? (?:\p{{L}}\. )?{_WORD}(?: {_WORD})?(?![@_+])"),
+    "capitals": regex.compile(rf"(?<![\p{{L}}@.+_\-])\p{{Lu}}{_WORD}\.?,? (?:\p{{L}}\. )?\p{{Lu}}{_WORD}(?: {_WORD})?(?![@_+])"),
 }
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}’'\-]+")
 
@@ -105,7 +107,7 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, tuple[str, ...]]]:
     digits = any(map(str.isdigit, text))
     emails = "@" in text or "＠" in text or ("at" in low and ("dot" in low or "(at)" in low or "[at]" in low or "{at}" in low))
     streets = digits and (not keys.isdisjoint(_STREET_WORDS) or any(e in low for e in _STREET_STEMS))
-    names = not keys.isdisjoint(_NAME_WORDS)
+    names = "name" if not keys.isdisjoint(_NAME_WORDS) else "capitals"
     for m in _LOOSE["email"].finditer(text) if emails else ():
         s, a, b = m.group(), m.start(), m.end()
         at = regex.search(r"@|＠|\[at\]|\(at\)|\{at\}| at ", s, regex.I)
@@ -137,7 +139,7 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, tuple[str, ...]]]:
         end = any(_key(w).endswith(e.strip(".")) and len(_key(w)) > len(e) + 2 for w in words for e in STREET_END)
         common = sum(_key(w) in _FUNCTION for w in own)
         yield a, b, "street_address", ("bias", f"after={bool(after_)}", f"before={bool(before_)}", f"end={end}", f"common={min(common, 3)}", f"names={min(len(own), 4)}", f"big={any(w[0].isupper() for w in own)}", f"form={(after_ or before_ or ['end'])[0]}", f"unit={_key(words[0]) in ('flat', 'apt', 'apartment', 'unit', 'suite')}", f"digit={s[0].isdigit()}", f"function={common > 0},{_key(words[1] if len(words) > 1 else '') in _FUNCTION}", f"lower={not any(w[0].isupper() for w in own)},{bool(before_)}", f"cut={'.' in s[:-6] and ' St.' not in s}")
-    for m in _LOOSE["name"].finditer(text, overlapped=True) if names else ():
+    for m in _LOOSE[names].finditer(text, overlapped=True):
         words = [(w.group(), w.end()) for w in regex.finditer(rf"{_WORD}\.?,?", m.group())]
         for n in (2, 3):
             if len(words) < n:
@@ -147,15 +149,40 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, tuple[str, ...]]]:
             b = a + len(s)
             parts = [regex.sub(r"[,.]", "", w) for w, _ in words[:n]]
             classes = [word_class(p) for p in parts]
-            if not any(c.startswith(("title", "given")) for c in classes):
-                continue
+            listed = any(c.startswith(("title", "given")) for c in classes)
+            if not listed and (_key(parts[0]) in _FUNCTION or _key(parts[0]) in _FOREIGN_FUNCTION or any(c.endswith("l") and c != "initial" for c in classes)):
+                continue  # small letters and function words look like a name only beside a listed one
             before, after = _around(text, a, b)
             comma = words[0][0].endswith(",")
             stop = any(_key(p) in _FUNCTION for p in parts)
             last = before[-1] if before else ""
             near = "start" if a == 0 or text[a - 1] == "\n" else last if last in NAME_CUES else "other" if last in ("the", "in", "near") else "none"
             tail = "end" if not after.strip() else after.strip()[:1] if not after.strip()[:1].isalnum() else "word"
-            yield a, b, "person_name", ("bias", f"n={n}", f"classes={' '.join(classes)}", f"first={classes[0]}", f"last={classes[-1]}", f"comma={comma}", f"function={stop}", f"near={near}", f"tail={tail}", f"case={''.join(c[-1] for c in classes)}", f"place={_key(parts[-1]) in _PLACES}", f"short={min(map(len, parts)) < 3}")
+            yield a, b, "person_name", ("bias", f"n={n}", f"classes={' '.join(classes)}", f"first={classes[0]}", f"last={classes[-1]}", f"comma={comma}", f"function={stop}", f"near={near}", f"tail={tail}", f"case={''.join(c[-1] for c in classes)}", f"place={_key(parts[-1]) in _PLACES}", f"short={min(map(len, parts)) < 3}", *(() if listed else _unlisted(parts, classes, near, tail, after, before)))
+
+
+def _unlisted(parts: list[str], classes: list[str], near: str, tail: str, after: str, before: list[str]) -> tuple[str, ...]:
+    """Features of a run of capitalised words of which no list has any: what stands around it and its ends decide."""
+    following = next(iter(_TOKEN.findall(after)), "").lower()
+    if near == "start" and before and before[-1] in NAME_CUES:
+        near = "closing"  # the line below a closing phrase
+    cue = near not in ("start", "other", "none")
+    surname = classes[-1].startswith("surname")
+    common = sum(_key(p) in _COMMON for p in parts)
+    return ("unlisted", f"u:cue={cue},{surname}", f"u:near={near}", f"u:common={min(common, 2)}", f"u:next={following if following in NAME_NEXT else tail}", f"u:last={classes[-1]},{near}", f"u:n={len(parts)},{cue}", f"u:case={''.join(c[-1] for c in classes)},{cue}", f"u:colon={before[-1:] == ['attendees']}")
+
+
+_FOREIGN_FUNCTION = set("für der die das und mit von pour le la les du des el los las para por con на по для от с и".split())
+_COMMON = set(
+    """monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november
+    december quarter ledger notes plan plans budget review report invoice memo agenda glossary template archive draft final annual weekly
+    daily monthly team office project meeting status save edit view file open close new send reply inbox mail calendar messages settings
+    order ticket build version page room hall desk gate row item items list update summary legal finance training support design research
+    sales customer client service center main north south east west royal grand great united states kingdom city market street road
+    contract brochure catalogue survey handbook manual roadmap schedule timeline board folder document documents viewer editor search
+    home help tools window format insert delete copy paste print share export import select all active pending approved overdue
+    der die das und bitte le la les el los una para по на для отчёт план бюджет собрание проект счёт отдел новый файл""".split()
+)
 
 
 _FUNCTION = set("the a an and or of for to in on at by with from is are was will would can could please we you i it this that these those has have had not no as if when why our my your his her their its about into until after before during each every new old please update signed attendees ask talked regards kind archive approve check review".split()) - {"old"}
@@ -197,7 +224,10 @@ def _compose(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
     d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     made = lambda: syll(3).capitalize()
     surname = lambda: (syll(1) + rng.choice(SURNAME_ENDS)).capitalize() if rng.random() < 0.8 else made()
-    given = lambda: rng.choice(sorted(GIVEN)).capitalize()
+    cyrillic = lambda n: "".join(rng.choice("бвгдзклмнпрст") + rng.choice("аеио") + rng.choice(["", "л", "н", "р"]) for _ in range(n)).capitalize()
+    listed = lambda: rng.choice(sorted(GIVEN)).capitalize()
+    given = lambda: listed() if rng.random() < 0.7 else syll(2).capitalize()  # a third is in no list
+    noun = lambda: rng.choice(sorted(w for w in _COMMON if w.isascii())).capitalize()
 
     def email() -> str:
         local = rng.choice([f"{given()}.{surname()}", f"{given()}+{syll(2)}", f"{syll(2)}{d(2)}", f"{surname()}-{given()}", f"{given()}_{surname()}"]).lower()
@@ -220,6 +250,10 @@ def _compose(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
 
     def person() -> str:
         g, s = given(), surname()
+        if rng.random() < 0.08:
+            return f"{cyrillic(2)} {cyrillic(2)}{rng.choice(['ов', 'ова', 'ин', 'ский', 'енко', ''])}"
+        if g.lower() not in GIVEN and rng.random() < 0.7:
+            return f"{g} {s}"
         s = f"{s}-{surname()}" if rng.random() < 0.1 else s
         out = rng.choice([f"{g} {s}"] * 4 + [f"{s}, {g}", f"{g} {rng.choice('ABCDRS')}. {s}", f"{rng.choice(['Mr.', 'Mrs.', 'Ms', 'Dr.', 'Prof.', 'Herr', 'Frau', 'Mme', 'Mr'])} {s}"])
         return rng.choice([out] * 8 + [out.upper(), out.lower()])
@@ -229,9 +263,9 @@ def _compose(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
         "phone": ["Call {} when it lands.", "Tel. {}, ask for the desk.", "Text {} if the door is locked.", "Missed call from {} on Friday.", "My new number is {}, use it.", "Voicemail from {}", "SMS {} - Messages", "Call {}", "Phone: {}", "Fax {}"],
         "id_number": ["Applicant gave {} on Friday.", "The form lists {} as proof.", "Check {} against the list.", "Scan of {}", "Record {} - Viewer", "Application {}", "Please blank out {} before you share it."],
         "street_address": ["Deliver the box to {} on Sunday.", "Pick up is at {}, second door.", "New address: {}. Update the list.", "Route to {}", "{} - Maps", "Delivery {} (plan)", "The courier waited outside {} for an hour."],
-        "person_name": ["Signed by {} for the team.", "Attendees: {} and the legal team.", "Kind regards,\n{}\nThe desk.", "I talked to {} about the plan.", "Ask {} where it went.", "{} will confirm it on Monday.", "{}: can you check the plan?", "Re: plan from {}", "1:1 {} - Calendar", "{} | Profile", "Please thank {} for the plan."],
+        "person_name": ["Signed by {} for the team.", "Attendees: {} and the legal team.", "Kind regards,\n{}\nThe desk.", "I talked to {} about the plan.", "Ask {} where it went.", "{} will confirm it on Monday.", "{}: can you check the plan?", "Re: plan from {}", "1:1 {} - Calendar", "{} | Profile", "Please thank {} for the plan.", "Подписал {} для отдела.", "Участники: {} и отдел.", "Contact: {}", "Dear {},"],
     }
-    decoys = [f"Meeting ID: {d(3)} {d(3)} {d(3)}", f"Order {d(4)}-{d(3)}-{d(5)} has left the depot.", f"Ticket #{d(6)} was merged into version {d(1)}.{d(3)}.{d(1)} of it.", f"Build {d(5)}.{d(3)}.{d(3)} fixed {d(3)} issues.", f"Serial {d(5)}-{d(3)}-B belongs to the scanner.", f"Use error code E-{d(3)}-{d(3)} here.", f"Tracking code ZX{d(5)}QP shows no movement.", f"Invoice {d(3)}-{d(3)} · Due Friday", f"Ping @{syll(3)} in the channel.", f"The train from {given()} Station leaves at {d(1)}:00.", f"The {given()} office keeps the plan.", f"The {made()} folder holds {d(3)} items in room {d(3)}.", f"We moved {made()} to hall {d(1)} at {d(1)} pm.", f"Costs for {made()} rose to €{d(3)} after the count, $1,{d(3)}.50 in all.", f"Quarter Ledger and {made()} Notes are the plans.", f"{made()} asked for {d(3)} copies by Monday, with the {syll(2)} team.", f"Two changes to the {made()} roadmap came back.", f"See https://docs.example/{syll(3)}/plan for it.", f"Gate {d(3)} · Boarding {d(2)}:{d(2)} · Row {d(3)}", f"The score was {d(3)}:{d(3)} after extra time.", f"Please rename {made()} and leave room {d(3)} in the way.", f"The street team took {d(2)} copies on the way to the court.", f"Ms in the {made()} file means manuscript.", f"v{d(1)}.{d(3)}.{d(1)} (build {d(3)})", f"For {made()}, the review takes place in room {d(3)} at {d(1)} pm.", f"The review takes place in hall {d(1)} by {d(1)}:30 pm.", f"For {made()}, the review takes place in the {syll(2)} {rng.choice(['at', 'by', 'around'])} {d(1)}{rng.choice(['', ' pm', ':30 pm', '1'])}.", f"It takes place in lab B at {d(1)}.", f"It went via {made()} at {d(1)}, with {d(3)} copies on the way.", f"They drive {d(2)} copies to {made()} in row {d(2)}.", f"Room {d(3)}, Tuesdays {d(2)}:{d(2)}", f"{made()} rang at {d(2)}; the ring {d(2)} came late.", f"Please check the {made()} budget and leave the next one in desk {d(2)}."]
+    decoys = [f"Meeting ID: {d(3)} {d(3)} {d(3)}", f"Order {d(4)}-{d(3)}-{d(5)} has left the depot.", f"Ticket #{d(6)} was merged into version {d(1)}.{d(3)}.{d(1)} of it.", f"Build {d(5)}.{d(3)}.{d(3)} fixed {d(3)} issues.", f"Serial {d(5)}-{d(3)}-B belongs to the scanner.", f"Use error code E-{d(3)}-{d(3)} here.", f"Tracking code ZX{d(5)}QP shows no movement.", f"Invoice {d(3)}-{d(3)} · Due Friday", f"Ping @{syll(3)} in the channel.", f"The train from {given()} Station leaves at {d(1)}:00.", f"The {given()} office keeps the plan.", f"The {made()} folder holds {d(3)} items in room {d(3)}.", f"We moved {made()} to hall {d(1)} at {d(1)} pm.", f"Costs for {made()} rose to €{d(3)} after the count, $1,{d(3)}.50 in all.", f"Quarter Ledger and {made()} Notes are the plans.", f"{made()} asked for {d(3)} copies by Monday, with the {syll(2)} team.", f"Two changes to the {made()} roadmap came back.", f"See https://docs.example/{syll(3)}/plan for it.", f"Gate {d(3)} · Boarding {d(2)}:{d(2)} · Row {d(3)}", f"The score was {d(3)}:{d(3)} after extra time.", f"Please rename {made()} and leave room {d(3)} in the way.", f"The street team took {d(2)} copies on the way to the court.", f"Ms in the {made()} file means manuscript.", f"v{d(1)}.{d(3)}.{d(1)} (build {d(3)})", f"For {made()}, the review takes place in room {d(3)} at {d(1)} pm.", f"The review takes place in hall {d(1)} by {d(1)}:30 pm.", f"For {made()}, the review takes place in the {syll(2)} {rng.choice(['at', 'by', 'around'])} {d(1)}{rng.choice(['', ' pm', ':30 pm', '1'])}.", f"It takes place in lab B at {d(1)}.", f"It went via {made()} at {d(1)}, with {d(3)} copies on the way.", f"They drive {d(2)} copies to {made()} in row {d(2)}.", f"Room {d(3)}, Tuesdays {d(2)}:{d(2)}", f"{made()} rang at {d(2)}; the ring {d(2)} came late.", f"Please check the {made()} budget and leave the next one in desk {d(2)}.", f"{noun()} {noun()} - {noun()}", f"Signed by the {noun()} {noun()} team.", f"{noun()} {made()} is with the {noun()} {noun()} desk.", f"We moved {made()} {noun()} to {noun()}.", f"Re: {made()} {noun()}", f"From {noun()} {made()} to {noun()} {noun()}", f"{made()} {noun()} | {noun()}", f"{noun()} for {made()}. {made()} agrees.", f"Ask {noun()} {noun()} or {noun()} {made()}.", f"{cyrillic(2)} и {cyrillic(3)}. Отчёт {cyrillic(3)} готов.", f"Please send {noun()} {made()} with {noun()} {noun()}.", f"{syll(2).capitalize()} {made()}", f"{made()} {made()}…", f"{syll(2).capitalize()} {made()} - {noun()}", f"{syll(3).capitalize()} {made()}", f"{syll(3).capitalize()} {syll(2)}{rng.choice(SURNAME_ENDS)}", f"{syll(2).capitalize()} {(syll(2) + rng.choice(SURNAME_ENDS)).capitalize()}", f"Meeting ID: {d(3)} {d(2)} {d(3)}", f"Meeting ID: {d(3)} {d(3)} {d(2)} · {noun()}"]
     parts, gold, at = [], [], 0
     for _ in range(rng.randint(1, 3)):
         if rng.random() < 0.4:

@@ -77,6 +77,19 @@ def test_mentions(text, kinds):
     assert [k for _, _, k in pii.mentions(text)] == kinds
 
 
+@pytest.mark.parametrize("name", ["Liam Smith", "Sophie Martin", "Brandon Cooper", "Иван Петров", "Мария Соколова"])
+@pytest.mark.parametrize("carrier", ["Signed by {} for the team.", "Attendees: {} and the legal team.", "Kind regards,\n{}\nThe desk.", "Ask {} where it went."])
+def test_names_of_no_list(name, carrier):
+    assert not {w.lower() for w in name.split()} & pii.GIVEN
+    text = carrier.format(name)
+    assert pii.redact(text, pii.mentions(text)) == carrier.format("[NAME]")
+
+
+@pytest.mark.parametrize("text", ["Quarter Ledger and Monday Notes are the plans.", "Please check the Budget Review on Monday.", "Überblick Zorpeknum", "Loading Mannasvor…", "Meeting ID: 905 88 372"])
+def test_capitals_that_are_no_names(text):
+    assert pii.mentions(text) == []
+
+
 def test_redaction_reads_on():
     t = "Ask Olga Rudshaw; write to olga@hub.test or call +1 608 555 0144."
     assert pii.redact(t, pii.mentions(t)) == "Ask [NAME]; write to [EMAIL] or call [PHONE]."
