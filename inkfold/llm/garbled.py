@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 # Letters beyond ASCII of de, fr, es, pt, pl, and signs that writers' tools put into texts.
 LATIN = "äöüßéèêëàâçîïôûùœæñáíóúãõąćęłńśźż"
 CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюяё"
-SIGNS = "“”‘’‚„–—…•·€£§©®™°«»¿¡ºª²³½×  ☆★✓→‍️"
-EMOJI = tuple(range(0x1F300, 0x1F700)) + tuple(range(0x1F900, 0x1FA00))
+SIGNS = "“”‘’‚„–—…•·€£§©®™°«»¿¡ºª²³½×\u00a0\u202f☆★✓→‍️"
+EMOJI = tuple(c for a, b in ((0x2190, 0x2200), (0x2600, 0x27C0), (0x2B00, 0x2C00), (0x1F300, 0x1F900), (0x1F900, 0x1FB00)) for c in range(a, b))
 UTF8_READ_AS = ("latin-1", "cp1252", "cp437", "cp850", "mac_roman", "cp1251", "cp1250", "iso8859-2", "iso8859-15", "koi8-r", "cp866", "cp1254", "cp1257")
 TWICE = ("latin-1", "cp1252")
 #: Single-byte encodings of Cyrillic and what they are read as.
@@ -82,8 +82,8 @@ def automaton() -> ahocorasick.Automaton:
     for wrong in UTF8_READ_AS:
         for c in dict.fromkeys(signs + japanese() + "".join(map(chr, EMOJI))):
             once = read(c.encode(), wrong)
-            if len(once) < 2:
-                continue
+            if len(once) < 2 or (0x2190 <= ord(c) < 0x2C00 and c not in SIGNS and all(x in _CLEAN for x in once)):
+                continue  # the form of a sign that is a part of a plain word tells nothing
             kind = "letters" if len(once) == 2 and all(x in _CLEAN for x in once) else "strong"
             add(once, kind, f"utf-8>{wrong}", c)
             if wrong in TWICE:
@@ -125,8 +125,9 @@ def automaton() -> ahocorasick.Automaton:
     return out
 
 
-def matches(text: str) -> list[tuple[int, int, str, tuple]]:
-    """What counts as garbled: ``(start, end, kind, readings)``, sorted, possibly overlapping."""
+def matches(text: str, sure: set[str] | frozenset[str] = frozenset()) -> list[tuple[int, int, str, tuple]]:
+    """What counts as garbled: ``(start, end, kind, readings)``, sorted, possibly overlapping. ``sure``: pairs that the
+    rest of the text proves, whose lone forms of letters count too."""
     raw = [(end + 1 - len(p), end + 1, r) for end, (p, r) in automaton().iter(text)]
     raw.sort(key=lambda m: (m[0], -m[1]))
     out, chain, letters = [], [], []
@@ -150,12 +151,16 @@ def matches(text: str) -> list[tuple[int, int, str, tuple]]:
             letters.append((a, b, tuple(r for r in readings if r[0] == "letters")))
     close(chain, 4, "chain")
     close(letters, 4, "letters")
-    sure = {p for _, _, k, r in out if k == "strong" for _, p, _ in r}
+    sure = sure | proven(out)
     lone = [(a, b, tuple(x for x in r if x[0] == "letters" and x[1] in sure)) for a, b, r in raw] if sure else []
     out += [(a, b, "letters", r) for a, b, r in lone if r]
     return sorted(out, key=lambda m: (m[0], -m[1]))
 
 
+def proven(got: list) -> set[str]:
+    return {p for _, _, k, r in got if k == "strong" for _, p, _ in r}
+
+
 _FOREIGN = regex.compile(r"[^\x00-\x7f]+")
 
 
@@ -225,6 +230,8 @@ def restore(text: str | None) -> tuple[str | None, bool]:
         got = [matches(line) if not line.isascii() else [] for line in lines]
         if not any(got):
             break
+        if sure := set().union(*map(proven, got)):
+            got = [matches(line, sure) if not line.isascii() else [] for line in lines]
         hit = True
         votes = _votes(got)
         better = [_layer(line, g, votes) if g else line for line, g in zip(lines, got)]

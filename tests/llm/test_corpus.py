@@ -97,6 +97,16 @@ def test_correct_text_stays(text):
     assert G.restore(text) == (text, False)
 
 
+@pytest.mark.parametrize("sign", ["\u00a0", "\u202f", "\u2705", "\u26a0", "\U0001f7e2", "\U0001fa84"])
+def test_restores_signs(sign):
+    assert G.restore(G.read(f"keeps{sign}the".encode(), "cp1252")) == (f"keeps{sign}the", True)
+
+
+def test_lone_letters_by_pairs_of_other_lines():
+    lines = "Où est passé le modèle ?\nÓ sim"
+    assert G.restore(G.read(lines.encode(), "cp1252")) == (lines, True)
+
+
 def test_garbled_edges(spark):
     rows = [(1, "cafÃ©", "k"), (1, "cafÃ©", "k"), (2, None, "k"), (3, "", "k"), (4, "x" * 100_000 + " dÃ©jÃ\xa0", "k"), (5, "reuni�o", "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, restored string")
