@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,6 +11,7 @@ from inkfold.functions.distance import ratio_of, simhash_of
 from inkfold.session import cut
 
 NEAR = 0.90
+SNIPPETS = "array<struct<app_name:string,window_title:string,visible_text:string>>"
 
 
 def ordered(rows: DataFrame, order: str, exact: str, normal: str, group: str | None = None) -> DataFrame:
@@ -61,3 +62,26 @@ def shapes(rows: DataFrame, key: str, text: str, group: str | None = None) -> Da
     """``(id, group, shape)``: masked texts, the first id of each."""
     s = rows.select(F.col(key).alias("id"), (F.col(group) if group else F.lit(None)).cast("string").alias("group"), T.shape(F.col(text)).alias("shape"))
     return s.where("shape is not null").groupBy("shape", "group").agg(F.min("id").alias("id")).select("id", "group", "shape")
+
+
+def whole(text: Column, suggestion: Column, snippets: Column) -> Column:
+    """What a candidate's shape is made of: text, suggestion, and every snippet's application, title and visible text.
+    Absent snippets and fields of snippets count as empty."""
+    part = lambda s: F.concat_ws(" ", *[F.coalesce(s[n], F.lit("")) for n in ("app_name", "window_title", "visible_text")])
+    return F.concat_ws(" | ", F.array(text, suggestion), F.transform(F.coalesce(snippets, F.expr("array()").cast(SNIPPETS)), part))
+
+
+def normal_key(text: Column, suggestion: Column, snippets: Column) -> Column:
+    """The normalised key of a candidate, over text, suggestion and all snippets, part by part. Equal candidates have
+    equal keys, so it stands for the exact key too."""
+    parts = F.transform(F.coalesce(snippets, F.expr("array()").cast(SNIPPETS)), lambda s: F.array(*[T.plain(F.coalesce(s[n], F.lit(""))) for n in ("app_name", "window_title", "visible_text")]))
+    return F.to_json(F.struct(T.plain(text).alias("t"), T.plain(suggestion).alias("s"), parts.alias("c")))
+
+
+def kept_rows(rows: DataFrame, near: float = NEAR) -> DataFrame:
+    """``(id)`` of the candidates that stay, in order of id; ``rows`` has unique id, group, normal and shape. A row goes
+    if a row that stays before it has its key, or is near it and of another group; shape-mates of one group stay."""
+    # of rows alike in all three the first decides for the others
+    first = cut(rows.where("shape is not null").groupBy("normal", "group", "shape").agg(F.min("id").alias("id")))
+    equal = first.alias("x").join(first.alias("y"), "normal").where("x.id < y.id").select(F.col("x.id").alias("earlier"), F.col("y.id").alias("later"))
+    return kept(first, near_links(first.select("id", "group", "shape"), near).select("earlier", "later").union(equal))

@@ -437,20 +437,21 @@ def ordered_dedupe(spark, sf):
     return DD.ordered(r, "k", "e", "n").select("candidate_id", "reason")
 
 
-def _shapes(spark, sf):
-    r = table(spark, sf, "synthetic_candidates").where("candidate_id is not null").select("candidate_id", "group_id", F.col("input.text").alias("t"))
-    return DD.shapes(r, "candidate_id", "t", "group_id")
+def _candidates(spark, sf):
+    r = table(spark, sf, "synthetic_candidates").where("candidate_id is not null and input.text is not null and output.suggestion is not null")
+    t, s, c = F.col("input.text"), F.col("output.suggestion"), F.col("input.context_snippets")
+    r = r.select(F.col("candidate_id").alias("id"), F.struct(F.col("group_id").cast("string").alias("group"), DD.normal_key(t, s, c).alias("normal"), T.shape(DD.whole(t, s, c)).alias("shape")).alias("r"))
+    return r.groupBy("id").agg(F.min("r").alias("r")).select("id", "r.*")  # redelivered rows
 
 
 @query()
 def near_duplicate_links(spark, sf):
-    return DD.near_links(_shapes(spark, sf))
+    return DD.near_links(_candidates(spark, sf).select("id", "group", "shape"))
 
 
 @query()
 def greedy_dedupe(spark, sf):
-    s = _shapes(spark, sf)
-    return DD.kept(s, DD.near_links(s))
+    return DD.kept_rows(_candidates(spark, sf))
 
 
 @query()

@@ -166,6 +166,18 @@ def test_near_links(spark):
     assert ("a", "c") not in links and all(x < y for x, y in links)
 
 
+def test_whole_candidates_are_compared(spark):
+    draft, long = "please move the printed invoice from the north lobby to the archive", "the other screen speaks about a wholly different thing and holds many words of its own that nobody else has written so far"
+    snip = lambda t: [("Mail", "Inbox", t)]
+    rows = [("a", "g1", draft, "s one", snip("short")), ("b", "g2", draft, "s one", snip(long)), ("c", "g1", draft, "S  one", snip("short")), ("d", "g1", draft, "s 1", snip("short")), ("e", "g1", draft, "s 2", snip("short")), ("f", "g3", draft, "s one", None), ("g", "g4", draft, "s 3", snip("short"))]
+    df = frame(spark, rows, f"id string, group string, t string, s string, c {DD.SNIPPETS}")
+    t, s, c = F.col("t"), F.col("s"), F.col("c")
+    r = df.select("id", "group", DD.normal_key(t, s, c).alias("normal"), DD.T.shape(DD.whole(t, s, c)).alias("shape"))
+    # b has another context; c is a normalised copy of a; d and e are near a but of its group; g is near a of another group
+    got = {x.id for x in DD.kept_rows(r).collect()}
+    assert {"a", "b", "d", "e"} <= got and not {"c", "g"} & got
+
+
 def test_noise_is_reproducible(spark):
     a = A.noisy("Meet me by the station.", 5, 9402)
     assert a == A.noisy("Meet me by the station.", 5, 9402) and len(a[1]) == 5
