@@ -88,14 +88,16 @@ def balanced_sample(units: DataFrame, targets: DataFrame, divisor: int = 5, salt
     Each example is drawn with probability wanted / available of its cell. Flight phases run on groups of hashed
     examples, balanced on the cells' indicators; what stays open, at most a few units a group, moves up to groups of
     groups, and the last group lands. Neither rows' order nor partitions matter. An example with several categories
-    counts for the least of them. The report has, for each target, wanted, available, selected and the residual
+    counts for the least of them that is a target. The report has, for each target, wanted, available, selected and the residual
     ``selected - least(wanted, available)``. Nulls take no part; empty tables give an empty sample.
     """
     t = cut(supply(units, targets, divisor))
     cell = t.select(_plain("category").alias("_c"), _plain("context_variant").alias("_v"), F.dense_rank().over(_by("category", "context_variant")).alias("cell"), "wanted", "available").where("available > 0")
     cell = F.broadcast(cell) if small(targets, TARGET_BYTES) else cell
-    one = units.where("example_id is not null").groupBy("example_id").agg(F.min(F.struct(_plain("category").alias("_c"), _plain("context_variant").alias("_v"))).alias("s")).select("example_id", "s._c", "s._v")
-    drawn = one.join(cell, ["_c", "_v"]).select("example_id", "_c", "_v", (F.col("cell") - 1).cast("int").alias("cell"), F.least(F.lit(1.0), F.col("wanted") / F.col("available")).alias("p"), _rank(salt, "example_id").alias("h"))
+    # an example's cell is the least of those that targets name, as supply() counts them
+    of = units.where("example_id is not null").select("example_id", _plain("category").alias("_c"), _plain("context_variant").alias("_v")).join(cell, ["_c", "_v"])
+    one = of.groupBy("example_id").agg(F.min(F.struct("_c", "_v", "cell", "wanted", "available")).alias("s")).select("example_id", "s.*")
+    drawn = one.select("example_id", "_c", "_v", (F.col("cell") - 1).cast("int").alias("cell"), F.least(F.lit(1.0), F.col("wanted") / F.col("available")).alias("p"), _rank(salt, "example_id").alias("h"))
     drawn = cut(drawn)
     n, q = drawn.count(), targets.count()
     groups = max(1, -(-n // GROUP))

@@ -195,3 +195,11 @@ def test_balanced_sample(spark, monkeypatch):
     assert len({r.example_id for r in got}) == len(got) == sum(r.selected for r in rep.values())
     assert sorted(got) == sorted(S.balanced_sample(u.repartition(7), targets)[0].collect())
     assert S.balanced_sample(u.limit(0), targets)[0].count() == 0
+
+
+def test_balanced_sample_of_examples_with_untargeted_cells(spark):
+    rows = [(f"e{i}", c, "x") for i in range(20) for c in (None, "0 no target", "a")]
+    u = spark.createDataFrame(rows, "example_id string, category string, context_variant string")
+    t = spark.createDataFrame([("a", "x", 1.0, 20)], "category string, context_variant string, target_share double, min_rows int")
+    sample, report = S.balanced_sample(u, t)
+    assert sample.count() == 20 and [(r.available, r.selected, r.residual) for r in report.collect()] == [(20, 20, 0)]
