@@ -1,15 +1,22 @@
 """Problem 10: text read in another encoding than it was written in.
 
-For each pair of a true and a wrong encoding, the garbled form of every letter and sign of the alphabets is computed in
-advance, also for text garbled twice. One multi-pattern automaton finds all of them in one pass over a text. Forms
-that could stand in correct text count only in company: forms of letters alone when two of them touch, and for
-single-byte encodings, where each letter turns into another single letter, when a chain of garbled letter pairs covers
-at least four letters. Only what matched is put back; the rest of the text, garbled or correct, stays untouched.
-Texts garbled repeatedly are restored layer by layer. A replacement character marks text that cannot be restored.
+For each pair of a true and a wrong encoding, the garbled sequences of the alphabets are computed in advance. One
+multi-pattern automaton finds them in one pass over a line and so names the pairs that may have made it. Under each
+named pair the line is read back byte by byte, which gives the spans that are whole garbled sequences of that pair;
+the pair that explains most of the line is taken off, and only its spans are put back. This repeats until nothing is
+garbled, so text garbled any number of times, by one pair or by several, is restored layer by layer: each layer of a
+multi-byte encoding makes the line shorter, and a single-byte pair is taken off at most once.
+
+Forms that could stand in correct text count only in company: forms of letters alone when two of them touch or the
+text proves their pair, letters that turn into single letters when a run of them is no word of their own script, signs
+when they stand inside a word. A replacement character marks text whose bytes are lost; what stands around it is
+restored. Garbled characters that were then written as numeric entities are read as the characters.
 """
 
 from __future__ import annotations
 
+import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -17,224 +24,481 @@ from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Letters beyond ASCII of de, fr, es, pt, pl, and signs that writers' tools put into texts.
+# Letters beyond ASCII of some languages, the signs that writers' tools put into texts, encodings.
 LATIN = "äöüßéèêëàâçîïôûùœæñáíóúãõąćęłńśźż"
 CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюяё"
-SIGNS = "“”‘’‚„–—…•·€£§©®™°«»¿¡ºª²³½×\u00a0\u202f☆★✓→‍️"
-EMOJI = tuple(c for a, b in ((0x2190, 0x2200), (0x2600, 0x27C0), (0x2B00, 0x2C00), (0x1F300, 0x1F900), (0x1F900, 0x1FB00)) for c in range(a, b))
-UTF8_READ_AS = ("latin-1", "cp1252", "cp437", "cp850", "mac_roman", "cp1251", "cp1250", "iso8859-2", "iso8859-15", "koi8-r", "cp866", "cp1254", "cp1257")
-TWICE = ("latin-1", "cp1252")
-#: Single-byte encodings of Cyrillic and what they are read as.
-CYRILLIC_PAIRS = tuple((e, w) for e in ("cp1251", "koi8-r", "iso8859-5", "cp866", "mac_cyrillic") for w in ("latin-1", "cp1252"))
-LATIN_PAIRS = tuple((e, w) for e in ("cp1252",) for w in ("cp437", "cp850", "cp1251", "koi8-r", "cp866")) + (("cp1250", "cp1252"), ("iso8859-2", "cp1252"))
-JAPANESE_PAIRS = (("cp932", "cp1252"), ("cp932", "latin-1"), ("euc-jp", "latin-1"), ("euc-jp", "cp1252"))
-LAYERS = 6
+SIGNS = "“”‘’‚„–—…•·€£§©®™°«»¿¡ºª²³½×  ☆★✓→‍️"
+WESTERN = ("cp1252", "latin-1", "iso8859-15", "cp1254", "mac_roman", "cp850", "cp437")
+CENTRAL = ("cp1250", "iso8859-2", "cp852", "cp1257")
+SLAVIC = ("cp1251", "koi8-r", "cp866", "iso8859-5", "mac_cyrillic")
+SINGLE = (*WESTERN[:4], *CENTRAL[:2], *WESTERN[4:], *CENTRAL[2:], *SLAVIC)
+WIDE = ("cp932", "euc_jp")
+LETTERS = {"de": "äöüß", "fr": "éèêëàâçîïôûùœæ", "es": "ñáéíóúü", "pt": "ãõáâàçéêíóôú", "pl": "ąćęłńóśźż"}
+WORDS = {
+    "de": "der die das und ist nicht mit wir den dem von bis ein eine auf im zu",
+    "fr": "le la les de du des et est nous avec pour dans pas au un une que",
+    "es": "el la los las de del y que en con se por para una no sin ya",
+    "pt": "o a os as de da do e que em com para uma no na um foi",
+    "pl": "i w z na do nie jest to od dla czy po przed jak za tylko",
+}
+RUSSIAN = "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё"  # from the most to the least frequent
+LOOKALIKE = set("аеорсухіѕјАВЕКМНОРСТУХοαυνρικ")  # letters that look Latin prove no encoding
+INNER = set("‚„¤¢£¥¡¿¹²³ºª¼½¾±¶§¨´¸¯¬¦‡†ˆ‰‹›«»™®©°µ×÷˜")  # signs that no correct word has inside
 MARK = "�"
+ENTITY = re.compile(r"&#(?:[xX]([0-9A-Fa-f]{2,6})|(\d{3,7}));")
 
 _CLEAN = set(LATIN + LATIN.upper() + CYRILLIC + CYRILLIC.upper() + "–—’“”")
-_ASCII = [chr(c) for c in range(97, 123)]
+_SEQUENCE = r"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}"
+_WHOLE = re.compile(_SEQUENCE)
+_NONE, _LOST = "Ā", "ā"  # stand for a character without bytes and for lost bytes
+_TOKENS = re.compile(rf"(?P<seq>{_SEQUENCE})|(?P<lost>(?:[\xc2-\xf4][\x80-\xbf]{{0,2}})?{_LOST}[\x80-\xbf]{{0,2}})|(?P<plain>[\x00-\x7f])|(?P<other>.)", re.S)
+_LETTER = re.compile(r"[^\x00-\x7f]")
+_FOREIGN = re.compile(r"[^\x00-\x7f]+")
 
 
 def read(data: bytes, wrong: str) -> str:
     """Bytes read in a wrong encoding; bytes that it leaves undefined come out as controls, as browsers read them."""
+    if wrong in WIDE:
+        return data.decode(wrong, "replace")
+    return "".join(upper(wrong)[b - 128] if b > 127 else chr(b) for b in data)
+
+
+@lru_cache(None)
+def upper(wrong: str) -> tuple[str, ...]:
+    """The characters of the upper half of a single-byte encoding."""
     out = []
-    for b in data:
+    for b in range(128, 256):
         try:
             out.append(bytes([b]).decode(wrong))
         except UnicodeDecodeError:
             out.append(chr(b))
-    return "".join(out)
+    return tuple(out)
+
 
+@lru_cache(None)
+def to_bytes(wrong: str) -> dict[int, str]:
+    """A table for ``translate``: each character as the byte that was read as it, at the same place of the text."""
+    table = {c: _NONE for c in range(128, 256)}
+    table.update({ord(c): chr(128 + i) for i, c in enumerate(upper(wrong))})
+    return table
 
-def unread(text: str, wrong: str) -> bytes | None:
-    """The bytes of a text read by ``read``; None where a character has none."""
-    out = bytearray()
-    for c in text:
+
+@lru_cache(None)
+def letter_map(true: str, wrong: str) -> dict[str, str]:
+    """Garbled letters of a pair of single-byte encodings and what they were."""
+    small = CYRILLIC if true in SLAVIC else LATIN
+    out = {}
+    for c in small + small.upper().replace("SS", "") + "“”‘’–—…•€":
         try:
-            out += c.encode(wrong)
+            g = read(c.encode(true), wrong)
         except UnicodeEncodeError:
-            if not 0x80 <= ord(c) <= 0x9F:
-                return None
-            out.append(ord(c))
-    return bytes(out)
+            continue
+        if not g.isascii() and (g != c or (true in SLAVIC and wrong in SLAVIC)):
+            out[g] = c
+    return out
 
 
-def japanese() -> str:
-    """Kana, marks and the kanji of the first level, by their places in the character set."""
-    rows = [bytes([a, b]) for a in (0x81, 0x82, 0x83, *range(0x88, 0x99)) for b in range(0x40, 0xFD) if b != 0x7F]
-    return "".join(c for r in rows if len(c := r.decode("cp932", "ignore")) == 1 and ord(c) > 0x3000)
+SINGLE_PAIRS = tuple((e, w) for e in (*WESTERN, *CENTRAL, *SLAVIC) for w in SINGLE if e != w and any(g != c for g, c in letter_map(e, w).items()))
+#: Among pairs that explain as much, the earlier ones are the more usual.
+PAIRS = (*(("utf-8", w) for w in (*SINGLE, *WIDE)), *((e, w) for e in WIDE for w in SINGLE), ("euc_jp", "cp932"), *SINGLE_PAIRS)
+_PLACE = {p: i for i, p in enumerate(PAIRS)}
+
+
+@lru_cache(None)
+def original(seq: str) -> str | None:
+    """What a whole UTF-8 sequence, one character a byte, stands for; None where no text would hold it."""
+    c = seq.encode("latin-1").decode("utf-8", "ignore")
+    if not c:
+        return None
+    o = ord(c)
+    if o in (0xFFFD, 0xFEFF, 0xF8FF) or 0xF8F0 <= o <= 0xF8F3:
+        return c
+    return c if unicodedata.category(c) not in ("Cn", "Co", "Cs") and (o < 0x530 or 0x1E00 <= o < 0x3100 or 0x3100 <= o < 0xA000 or 0xAC00 <= o < 0xD7A4 or 0xF900 <= o < 0xFB10 or 0xFE00 <= o < 0x10000 or 0x1F000 <= o < 0x1FB00 or 0x20000 <= o < 0x2A6E0 or 0x1D400 <= o < 0x1D800) else None
 
 
 @lru_cache(1)
 def automaton() -> ahocorasick.Automaton:
-    """Patterns with their readings ``(kind, pair, original)``; kind is strong, letters or chain."""
-    found: dict[str, dict[str, tuple[str, str, str | None]]] = {}
-
-    def add(pattern: str, kind: str, pair: str, original: str | None) -> None:
-        if pattern and not pattern.isascii() and pattern != original:
-            found.setdefault(pattern, {}).setdefault(pair, (kind, pair, original))
-
-    signs = LATIN + LATIN.upper() + CYRILLIC + CYRILLIC.upper() + SIGNS
-    for wrong in UTF8_READ_AS:
-        for c in dict.fromkeys(signs + japanese() + "".join(map(chr, EMOJI))):
-            once = read(c.encode(), wrong)
-            if len(once) < 2 or (0x2190 <= ord(c) < 0x2C00 and c not in SIGNS and all(x in _CLEAN for x in once)):
-                continue  # the form of a sign that is a part of a plain word tells nothing
-            kind = "letters" if len(once) == 2 and all(x in _CLEAN for x in once) else "strong"
-            add(once, kind, f"utf-8>{wrong}", c)
-            if wrong in TWICE:
-                add(read(once.encode(), wrong), "strong", f"utf-8>{wrong}", once)
-    kana = [c for c in japanese() if "HIRAGANA" in unicodedata.name(c, "") or c in "。、"]
-    for c in kana:  # three bytes become one and a half characters, so pairs are read
-        for d in kana:
-            for cut_ in ((c + d).encode(), (c + d).encode()[:5], (c + d).encode()[1:]):
-                s = cut_.decode("cp932", "ignore")
-                if len(s) >= 2 and s[0] in "縺繧縲ｱｲｸ" and not any("HIRAGANA" in unicodedata.name(x, "") for x in s):
-                    add(s, "strong", "utf-8>cp932", c + d if len(cut_) == 6 else None)
-    for true, wrong in CYRILLIC_PAIRS:
-        for a in CYRILLIC + CYRILLIC.upper():
-            for b in CYRILLIC + CYRILLIC.upper():
-                if a.islower() and b.isupper():
-                    continue
-                add(read((a + b).encode(true), wrong), "chain", f"{true}>{wrong}", a + b)
-    for true, wrong in LATIN_PAIRS:
-        for c in LATIN + LATIN.upper():
-            try:
-                g = read(c.encode(true), wrong)
-            except UnicodeEncodeError:
-                continue
-            if g in SIGNS or not g.isprintable() or g.isspace() or (g in LATIN + LATIN.upper() and not (c.islower() and g.isupper())):
-                continue
-            for x in _ASCII:
-                add(x + g, "strong", f"{true}>{wrong}", x + c)
-                if g not in _CLEAN or g in CYRILLIC:  # a capital may begin a word
-                    add(g + x, "strong", f"{true}>{wrong}", c + x)
-    for true, wrong in JAPANESE_PAIRS:
-        for c in kana:
-            for d in kana:
-                add(read((c + d).encode(true), wrong), "strong", f"{true}>{wrong}", c + d)
-    add(MARK, "strong", "lost", None)
+    """Garbled sequences of all pairs; a pattern's value is the places in ``PAIRS`` of the pairs that make it.
+
+    Of a UTF-8 sequence of three or four bytes the garbled form of all but the last byte is a pattern. Pairs of letters
+    stand for Cyrillic read in single bytes, single letters for Latin, and three bytes for Japanese.
+    """
+    found: dict[str, set[int]] = {}
+
+    def add(pattern: str, pair: tuple[str, str]) -> None:
+        if pattern and not pattern.isascii():
+            found.setdefault(pattern, set()).add(_PLACE[pair])
+
+    heads = [bytes([a, b]) for a in range(0xC2, 0xF0) for b in range(0x80, 0xC0)] + [bytes([0xF0, a, b]) for a in range(0x90, 0xC0) for b in range(0x80, 0xC0)]
+    for wrong in SINGLE:
+        for head in heads:
+            add(read(head, wrong), ("utf-8", wrong))
+    for head in (h for h in heads if h[0] in range(0xE3, 0xEA)):
+        for wrong in WIDE:
+            form = head.decode(wrong, "ignore")
+            if len(form) == 1:
+                add(form, ("utf-8", wrong))
+    for true, rows in (("cp932", ((0x82, 0x9F, 0xF2), (0x83, 0x40, 0x97))), ("euc_jp", ((0xA4, 0xA1, 0xF4), (0xA5, 0xA1, 0xF7)))):
+        for lead, a, b in rows:
+            for x in range(a, b):
+                for wrong in (*SINGLE, *(("cp932",) if true == "euc_jp" else ())):
+                    add(read(bytes([lead, x, lead]), wrong), (true, wrong))
+    for true, wrong in SINGLE_PAIRS:
+        back = letter_map(true, wrong)
+        if true in SLAVIC:
+            small = [g for g, c in back.items() if c.islower()]
+            for g in back:
+                for h in small:
+                    add(g + h, (true, wrong))
+        else:
+            for g in back:
+                add(g, (true, wrong))
+    names: dict[frozenset[int], tuple[int, ...]] = {}
     out = ahocorasick.Automaton()
-    for pattern, readings in found.items():
-        out.add_word(pattern, (pattern, tuple(readings.values())))
+    for pattern, pairs in found.items():
+        out.add_word(pattern, names.setdefault(frozenset(pairs), tuple(sorted(pairs))))
     out.make_automaton()
     return out
 
 
-def matches(text: str, sure: set[str] | frozenset[str] = frozenset()) -> list[tuple[int, int, str, tuple]]:
-    """What counts as garbled: ``(start, end, kind, readings)``, sorted, possibly overlapping. ``sure``: pairs that the
-    rest of the text proves, whose lone forms of letters count too."""
-    raw = [(end + 1 - len(p), end + 1, r) for end, (p, r) in automaton().iter(text)]
-    raw.sort(key=lambda m: (m[0], -m[1]))
-    out, chain, letters = [], [], []
-
-    def close(run: list, least: int, kind: str) -> None:
-        if run and max(m[1] for m in run) - run[0][0] >= least:
-            out.extend((a, b, kind, r) for a, b, r in run)
-        run.clear()
-
-    for a, b, readings in raw:
-        kinds = {k for k, _, _ in readings}
-        if "strong" in kinds:
-            out.append((a, b, "strong", tuple(r for r in readings if r[0] == "strong")))
-        if "chain" in kinds:
-            if chain and a != chain[-1][0] + 1:
-                close(chain, 4, "chain")
-            chain.append((a, b, tuple(r for r in readings if r[0] == "chain")))
-        if "letters" in kinds:
-            if letters and a != letters[-1][1]:
-                close(letters, 4, "letters")
-            letters.append((a, b, tuple(r for r in readings if r[0] == "letters")))
-    close(chain, 4, "chain")
-    close(letters, 4, "letters")
-    sure = sure | proven(out)
-    lone = [(a, b, tuple(x for x in r if x[0] == "letters" and x[1] in sure)) for a, b, r in raw] if sure else []
-    out += [(a, b, "letters", r) for a, b, r in lone if r]
-    return sorted(out, key=lambda m: (m[0], -m[1]))
+def named(line: str) -> set[tuple[str, str]]:
+    """The pairs of which the automaton meets a garbled sequence in the line."""
+    met = {pairs for _, pairs in automaton().iter(line)}
+    return {PAIRS[i] for i in set().union(*met)}
+
+
+Span = tuple[int, int, str]  # start, end, what stood there
+
+
+def utf8_spans(line: str, wrong: str, sure: bool) -> list[Span]:
+    """Whole UTF-8 sequences read in single bytes. Forms of letters alone count where two touch or the pair is sure."""
+    strong, letters, few, controls = [], [], [], []
+    for m in _WHOLE.finditer(line.translate(to_bytes(wrong))):
+        c = original(m.group())
+        if c is None:
+            continue
+        form = line[m.start() : m.end()]
+        span = (m.start(), m.end(), c)
+        if c < "\xa0" and upper(wrong)[ord(c) - 128] != c:
+            controls.append(span)  # a control of an earlier layer
+        elif not all(x in _CLEAN for x in form):
+            strong.append(span)
+        elif len(form) == 2:
+            letters.append(span)
+        elif c in SIGNS:
+            strong.append(span)
+        elif c < "\u2190" or c >= "\u2c00":
+            few.append(span)  # letters alone that would be one sign of another script
+    if letters and not (sure or strong):
+        ends = {b for _, b, _ in letters}
+        starts = {a for a, _, _ in letters}
+        letters = [s for s in letters if s[0] in ends or s[1] in starts]
+    if strong:
+        covered = {i for a, b, _ in strong + letters + few for i in range(a, b)}
+        # no part of a word whose other letters are in no sequence
+        letters += [s for s in few if all(i in covered or not 0 <= i < len(line) or line[i] not in _CLEAN for i in (s[0] - 1, s[1]))]
+        letters += controls
+    return sorted(strong + letters)
+
+
+def _japanese(c: str) -> bool:
+    return "　" <= c <= "ヿ" or "一" <= c <= "鿿" or "＀" <= c <= "￯"
+
+
+def wide_spans(line: str, wrong: str) -> list[Span]:
+    """UTF-8 read in an encoding of two bytes. Characters of which a byte fits no sequence stay, and so does what shares
+    a sequence with them; a sequence that lost bytes becomes one replacement character."""
+    data, owner = [], []
+    for i, c in enumerate(line):
+        try:
+            piece = _LOST if c == MARK else c.encode(wrong).decode("latin-1")
+        except UnicodeEncodeError:
+            piece = _NONE
+        data.append(piece)
+        owner += [i] * len(piece)
+    tokens = []
+    raw = [False] * len(line)
+    for m in _TOKENS.finditer("".join(data)):
+        chars = range(owner[m.start()], owner[m.end() - 1] + 1)
+        kind, text = m.lastgroup, MARK
+        if kind == "seq":
+            text = original(m.group()) or ""
+            kind = kind if text else "other"
+        elif kind == "plain":
+            text = m.group()
+        tokens.append((chars, kind, text))
+        if kind == "other":
+            for i in chars:
+                raw[i] = True
+    for order in (tokens, tokens[::-1]):
+        for chars, _, _ in order:
+            if any(raw[i] for i in chars):
+                for i in chars:
+                    raw[i] = True
+    out: list[list] = []
+    for chars, kind, text in tokens:
+        if raw[chars[0]] or raw[chars[-1]] or (kind == "plain" and line[chars[0]] == text):
+            continue
+        if out and out[-1][1] > chars[0]:  # shares a character with the sequence before
+            out[-1][1] = chars[-1] + 1
+            out[-1][2] += text
+        elif kind == "plain" or line[chars[0]] != text:
+            out.append([chars[0], chars[-1] + 1, text])
+    if sum(_japanese(c) for *_, t in out for c in t) < 2:
+        return []
+    return [(a, b, t) for a, b, t in out]
+
+
+def japanese_spans(line: str, true: str, wrong: str) -> list[Span]:
+    """A line, or the part between its outermost foreign characters, of Japanese bytes read one by one."""
+    at = [m.span() for m in _FOREIGN.finditer(line)]
+    if not at:
+        return []
+    for a, b in ((at[0][0], at[-1][1]), (at[0][0], len(line))):
+        try:
+            data = line[a:b].encode("cp932") if wrong == "cp932" else line[a:b].translate(to_bytes(wrong)).encode("latin-1")
+            text = data.decode(true)
+        except (UnicodeEncodeError, UnicodeDecodeError):
+            continue
+        foreign = [c for c in text if c > "\x7f"]
+        if len(foreign) >= 2 and all(map(_japanese, foreign)) and sum("぀" <= c <= "ヿ" for c in foreign) * 6 >= len(foreign):
+            return [(a, b, text)]
+    return []
+
+
+_RANK = {c: math.log(1 / (i + 2)) for i, c in enumerate(RUSSIAN)}
+
+
+def _russian(word: str) -> float:
+    """How well the letters of a word read as Russian: their usual frequency, small letters after the first."""
+    return sum(_RANK.get(c.lower(), -6.0) - (3.0 if i and c.isupper() and not word.isupper() else 0.0) for i, c in enumerate(word) if c.isalpha())
+
+
+def _cased(word: str) -> bool:
+    """Whether no capital follows a small letter."""
+    return not any(a.islower() and b.isupper() for a, b in zip(word, word[1:]))
+
+
+def cyrillic_spans(line: str, true: str, wrong: str, sure: bool) -> list[Span]:
+    """Whole runs that are Cyrillic letters under the pair. Runs in Latin letters prove it from four letters on; runs
+    that are Cyrillic already, when all of them together read much better the other way."""
+    back = letter_map(true, wrong)
+    got, longest, before, after = [], 0, 0.0, 0.0
+    for m in _FOREIGN.finditer(line):
+        run = m.group()
+        word = "".join(back.get(c, c) for c in run)
+        core = sum(c in back and back[c].isalpha() for c in run)
+        if not core or any(c not in back and c.isalpha() for c in run) or not _cased(word):
+            continue
+        got.append((m.start(), m.end(), word))
+        longest = max(longest, core)
+        if wrong in SLAVIC:
+            before += _russian(run) - 6.0 * sum(not c.isalpha() and c not in _CLEAN and c in back and back[c].isalpha() for c in run)
+            after += _russian(word)
+    if wrong in SLAVIC:
+        return got if longest >= 4 and after > before + 8 else []
+    return got if sure or longest >= 4 else []
+
+
+def _fluent(line: str) -> bool:
+    """Whether the Cyrillic runs of a line read like correct text."""
+    runs = _FOREIGN.findall(line)
+    foreign = sum(c.isalpha() or not c.isspace() and c not in _CLEAN for r in runs for c in r)
+    own = ["".join(c for c in r if c.lower() in _RANK) for r in runs]
+    n = sum(map(len, own))
+    return not foreign or (2 * n > foreign and sum(map(_russian, own)) > (-2.4 if n > 20 else -2.7) * n)
+
+
+def _class(letters) -> str:
+    return "[" + "".join(map(re.escape, sorted(letters))) + "]"
+
+
+_STRANGE = _class({g for p in SINGLE_PAIRS if p[0] not in SLAVIC for g in letter_map(*p) if not g.isspace()} - _CLEAN - set(SIGNS))
+#: What no correct text has: letters of other kinds, or signs, inside Latin words.
+_ODD = re.compile(
+    rf"(?<=[A-Za-z]){_STRANGE}|{_STRANGE}(?=[A-Za-z])|(?<=[a-z]){_class(LATIN.upper())}(?![A-Z])"
+    rf"|(?<=[A-Za-z]){_class(CYRILLIC + CYRILLIC.upper())}|{_class(CYRILLIC + CYRILLIC.upper())}(?=[A-Za-z])|(?<=[a-z]){_class(INNER)}(?=[a-z])"
+)
+_LONG_RUN = re.compile(r"[^\x00-\x7f\s]{4}")
+
+
+def latin_spans(line: str, true: str, wrong: str, sure: bool) -> list[Span]:
+    """Words in which letters beyond ASCII turned into others or into signs. A letter or sign that cannot stand where it
+    stands proves the pair for its line; then all foreign letters of words are read by it."""
+    back = letter_map(true, wrong)
+    got, proven = [], sure
+
+    def wordish(x: str) -> bool:
+        return x.isalpha() or (x in back and not x.isspace() and x not in "’“”‘…–—")
+
+    for m in _LETTER.finditer(line):
+        i, g = m.start(), m.group()
+        c = back.get(g)
+        if c is None:
+            continue
+        left, right = line[i - 1 : i] if i else "", line[i + 1 : i + 2]
+        l_, r_ = bool(left) and wordish(left), bool(right) and wordish(right)
+        if not (l_ or r_):
+            continue
+        small = left.isascii() and left.islower()
+        inner = small and right.isascii() and right.islower()
+        if g in SIGNS or g in INNER:
+            proven |= inner and g in INNER and c.isalpha()
+            both = l_ and r_
+            if not c.isalpha() or (g == "’" and (both or l_)) or (not both and (g.isspace() or g in "“”‘„«»")):
+                continue
+        elif g in _CLEAN and g not in CYRILLIC + CYRILLIC.upper():
+            proven |= small and g.isupper() and (c.islower() or not c.isalpha()) and (right.islower() or not right.isalpha())
+        elif g not in LOOKALIKE and (c.isupper() or c.islower() == (small or right.islower())):
+            proven |= small if c.islower() else right.isascii() and right.isalpha() and not l_
+        got.append((i, i + 1, c))
+    return got if proven else []
+
+
+def tongue(line: str) -> str:
+    """The language whose frequent words a line has most of; empty where none has two."""
+    words = set(re.findall(r"[a-z]+", line.lower()))
+    best = max(WORDS, key=lambda k: sum(w in words for w in WORDS[k].split()))
+    return best if sum(w in words for w in WORDS[best].split()) > 1 else ""
+
+
+def _worth(line: str, pair: tuple[str, str], spans: list[Span], lang: str) -> float:
+    """How much of the line's foreign characters a pair explains, by letters that the line's language has."""
+    true = pair[0]
+    if true == "utf-8" or true in WIDE:
+        return 1.3 * sum((b - a) * _plausible(line, a, b, t) for a, b, t in spans)
+    if true in SLAVIC:
+        n = sum(c.isalpha() for *_, t in spans for c in t)
+        reads = sum(_russian(t) for *_, t in spans) / max(1, n)
+        return (0.95 + 0.2 * (reads + 2.2)) * n
+    own = LETTERS.get(lang, "")
+    return sum(1.0 if c.lower() in own or not c.isalpha() else 0.3 if own else 0.9 if c.lower() in "éàüöäßñçóáíãê" else 0.6 for *_, c in spans)
+
+
+def _plausible(line: str, a: int, b: int, text: str) -> float:
+    """How usual it is what a span would be: little for lost bytes, rare letters and capitals after small letters."""
+    if MARK in text:
+        return 0.7
+    if text.isupper() and len(text) == 1 and line[a - 1 : a].islower() and a and line[b : b + 1].islower():
+        return 0.6
+    return 1.0 if all(c < "\x80" or c in _CLEAN or c in SIGNS or _japanese(c) or c > "\u2190" for c in text) else 0.6
+
+
+def spans_of(line: str, pair: tuple[str, str], sure: bool) -> list[Span]:
+    true, wrong = pair
+    if true == "utf-8":
+        return wide_spans(line, wrong) if wrong in WIDE else utf8_spans(line, wrong, sure)
+    if true in WIDE:
+        return japanese_spans(line, true, wrong)
+    return (cyrillic_spans if true in SLAVIC else latin_spans)(line, true, wrong, sure)
+
+
+def _put(line: str, spans: list[Span]) -> str:
+    parts, at = [], 0
+    for a, b, text in spans:
+        if a >= at:
+            parts += [line[at:a], text]
+            at = b
+    return "".join([*parts, line[at:]])
 
 
-def proven(got: list) -> set[str]:
-    return {p for _, _, k, r in got if k == "strong" for _, p, _ in r}
+def _proves(line: str, pair: tuple[str, str], spans: list[Span]) -> bool:
+    """Whether spans include more than forms of letters, so that the pair may be taken as known in the whole text."""
+    return pair[0] != "utf-8" or any(not all(x in _CLEAN for x in line[a:b]) for a, b, _ in spans)
+
+
+_TOUCHING = re.compile(r"[^\x00-\x7f]{2}")
+_RUSSIAN_LINE = re.compile(rf"[\x00-\x7f{CYRILLIC}{CYRILLIC.upper()}–—’“”«»…№]*")
+
+
+def suspect(line: str) -> bool:
+    """Whether a line could hold garbled sequences at all; most correct lines are told apart here."""
+    if line.isascii() or not (_TOUCHING.search(line) or _ODD.search(line)):
+        return False
+    return not (_RUSSIAN_LINE.fullmatch(line) and all(map(_cased, _FOREIGN.findall(line))) and _fluent(line) and not _ODD.search(line))
+
+
+def readings(lines: list[str], spent: list[bool]) -> list[tuple[tuple[str, str], list[Span]] | None]:
+    """For each line, the pair to take off next and its spans; None where nothing is garbled."""
+    options: list[dict[tuple[str, str], list[Span]]] = []
+    known: Counter = Counter()
+    for line, done in zip(lines, spent):
+        mine = {}
+        if suspect(line):
+            odd, pairs = _ODD.search(line), named(line)
+            for pair in (p for p in pairs if p[0] == "utf-8" or p[0] in WIDE and not done):
+                if s := spans_of(line, pair, False):
+                    mine[pair] = s
+            # single letters for single letters only where whole sequences do not tell most of the line
+            most = max((_worth(line, p, s, "") for p, s in mine.items()), default=0.0)
+            if not done and most < sum(c > "\x7f" for c in line):
+                slavic = _LONG_RUN.search(line) and not _fluent(line)
+                for pair in (p for p in pairs if p[0] not in ("utf-8", *WIDE) and (slavic if p[0] in SLAVIC else odd)):
+                    if s := spans_of(line, pair, False):
+                        mine[pair] = s
+            for pair, s in mine.items():
+                if _proves(line, pair, s):
+                    known[pair] += sum(b - a for a, b, _ in s)
+        options.append(mine)
+    out = []
+    for line, done, mine in zip(lines, spent, options):
+        for pair in known:  # what one line proves, counts in the others
+            if not line.isascii() and pair[0] == "utf-8" and pair not in mine and pair[1] not in WIDE and (s := spans_of(line, pair, True)):
+                mine[pair] = s
+        if not mine:
+            out.append(None)
+            continue
+        lang = tongue(line)
+        best = max(mine, key=lambda p: (round(_worth(line, p, mine[p], lang), 6), known[p], -_PLACE[p]))
+        spans = spans_of(line, best, True) if best[0] == "utf-8" and best in known and best[1] not in WIDE else mine[best]
+        out.append((best, spans))
+    return out
 
 
-_FOREIGN = regex.compile(r"[^\x00-\x7f]+")
+_BLANK_A = re.compile(r"(?<![A-ZÀ-Þ])Ã(?: (?= )|(?=[ ,.;:!?)]|$))")  # à whose second byte, a no-break space, became a blank or was lost
 
 
-def _words(line: str, pair: str) -> str:
-    """Put back the whole foreign words of a single-byte pair, not only the letters that made a chain."""
-    true, wrong = pair.split(">")
+def unescape(line: str) -> str:
+    """Numeric entities beyond ASCII as characters."""
 
     def back(m) -> str:
-        data = unread(m.group(), wrong)
-        word = data.decode(true, "replace") if data is not None else ""
-        return word if word and all("CYRILLIC" in unicodedata.name(c, "") for c in word) else m.group()
-
-    return _FOREIGN.sub(back, line)
-
-
-def _line(line: str, pair: str) -> str:
-    """Put back a line of a multi-byte pair, whose letters may hold bytes that look like ASCII."""
-    true, wrong = pair.split(">")
-    data = unread(line, wrong)
-    try:
-        return line if data is None else data.decode(true)
-    except UnicodeDecodeError:
-        return line
-
+        code = int(m.group(1), 16) if m.group(1) else int(m.group(2))
+        return chr(code) if 128 <= code < 0x110000 and not 0xD800 <= code < 0xE000 else m.group()
 
-#: Among pairs that explain as much, the more usual first.
-_ORDER = {p: i for i, p in enumerate([*(f"utf-8>{w}" for w in ("cp1252", *UTF8_READ_AS)), *(">".join(p) for p in CYRILLIC_PAIRS + LATIN_PAIRS)][::-1])}
-_ORDER = {p: len(_ORDER) - i for p, i in _ORDER.items()}
-
-
-def _votes(got: list[list]) -> Counter:
-    """How many letters each pair of encodings explains."""
-    out: Counter = Counter()
-    for g in got:
-        for a, b, _, readings in g:
-            for _, p, o in readings:
-                if o is not None:
-                    out[p] += (b - a) * (2 if o == o.lower() else 1)  # text is mostly small letters
-    return out
-
-
-def _layer(line: str, got: list, votes: Counter) -> str:
-    """One line with one layer of garbling taken off."""
-    mine = _votes([got])
-    if not mine:
-        return line
-    best = max(mine, key=lambda p: (mine[p], votes[p], -_ORDER.get(p, 99)))
-    if best.split(">")[0] in ("cp932", "euc-jp") and (whole := _line(line, best)) != line:
-        return whole
-    if tuple(best.split(">")) in CYRILLIC_PAIRS:
-        return _words(line, best)
-    parts, at = [], 0
-    for a, b, kind, readings in got:
-        known = [o for _, p, o in readings if o is not None and p == best]
-        if a >= at and kind != "chain" and known:
-            parts += [line[at:a], known[0]]
-            at = b
-    return "".join([*parts, line[at:]])
+    return ENTITY.sub(back, line) if "&#" in line else line
 
 
 def restore(text: str | None) -> tuple[str | None, bool]:
     """The text with its garbled spans put back as far as can be, and whether any were found."""
-    if text is None or text.isascii():
+    if text is None or (text.isascii() and "&#" not in text):
         return text, False
-    hit, lines = False, text.split("\n")
-    for _ in range(LAYERS):
-        got = [matches(line) if not line.isascii() else [] for line in lines]
+    lines = text.split("\n")
+    hit = MARK in text
+    # entities are read as characters only in lines that are garbled then
+    bare = [unescape(line) for line in lines]
+    if bare != lines:
+        lines = [b if b != line and r else line for line, b, r in zip(lines, bare, readings(bare, [False] * len(bare)))]
+    spent = [False] * len(lines)
+    while True:
+        got = readings(lines, spent)
         if not any(got):
             break
-        if sure := set().union(*map(proven, got)):
-            got = [matches(line, sure) if not line.isascii() else [] for line in lines]
-        hit = True
-        votes = _votes(got)
-        better = [_layer(line, g, votes) if g else line for line, g in zip(lines, got)]
+        hit, better = True, []
+        for i, (line, r) in enumerate(zip(lines, got)):
+            out = line
+            if r is not None:
+                (true, wrong), spans = r
+                out = _put(line, spans)
+                if true == "utf-8" and wrong in ("cp1252", "latin-1"):
+                    out = _BLANK_A.sub("à", out)
+                if true != "utf-8":
+                    spent[i] = True
+                elif len(out) >= len(line):
+                    out = line  # no layer of UTF-8 leaves a line as long
+            better.append(out)
         if better == lines:
             break
         lines = better
@@ -244,10 +508,10 @@ def restore(text: str | None) -> tuple[str | None, bool]:
 def garbled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, restored)`` for each row whose text holds garbled spans; ``restored`` is the text with those put back.
 
-    Null and empty texts are never garbled; ASCII texts never leave the JVM. Repeated rows come out repeatedly; other
-    columns are dropped, whatever their names.
+    Null and empty texts are never garbled; ASCII texts without numeric entities never leave the JVM. Repeated rows come
+    out repeatedly; other columns are dropped, whatever their names.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(r"[^\x00-\x7F]"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(r"[^\x00-\x7F]|&#[xX0-9]"))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
