@@ -77,6 +77,57 @@ def test_mentions(text, kinds):
     assert [k for _, _, k in pii.mentions(text)] == kinds
 
 
+HELD_OUT = "Thandiwe Nkosi|Siobhan Gallagher|Xiaoming Zhang|Priyanka Chatterjee|Margaret Thatcher|Oluwaseun Adebayo|Guadalupe Hernández|Björn Þórsson|Wojciech Szymański|Chukwuemeka Obi|Ewelina Kowalczyk|Rajesh Subramanian|Abdulrahman Al-Farsi|Marguerite Duras|Théodore Géricault|Ludmila Petrenko|Hyun-woo Park|Nguyễn Minh|Aoife Byrne|Desmond Tutu|Zbigniew Herbert|Giuseppe Verdi|Eleanor Roosevelt|Kwame Nkrumah|Sigrid Undset|Halldór Laxness|Ngozi Eze|Takeshi Kitano|Anneliese Rothenberger|Fyodor Karamazov".split("|")
+HELD_OUT_CARRIERS = ["The parcel was collected by {} this morning.", "Please invite {} to the review.", "I spoke with {} about the invoice.", "{} has approved the budget.", "Thanks, {}", "Interview with {} on Thursday", "Our new colleague is {}.", "Could you forward this to {}?", "Sent by {}, finance.", "Guest: {}", "{} and the design team agreed.", "Escalated to {} yesterday.", "We told {} that the draft is late.", "Assigned to {}"]
+CAPITALS = ["The Quarterly Review takes place on Monday.", "Please open Project Falcon before lunch.", "Status: Draft Approved", "Gate 12, Boarding Now", "The Green Door cafe is closed.", "Search Results - Archive", "Invoice Overdue Notice", "New Message From Support", "Team Calendar | Shared View", "Golden Bridge Museum opens at nine.", "Download Complete", "The Annual Report for Veltrix is ready.", "Meeting Notes - Veltrix Rollout", "Central Park is crowded.", "Happy Friday Everyone"]
+
+
+def test_names_and_carriers_that_training_never_saw():
+    """Names of many languages, of which no list has a word, in sentences that no carrier has."""
+    assert not {w.lower() for n in HELD_OUT for w in n.split()} & pii.GIVEN
+    found = wrong = 0
+    for carrier in HELD_OUT_CARRIERS:
+        for name in HELD_OUT:
+            text = carrier.format(name)
+            got = [text[a:b] for a, b, k in pii.mentions(text)]
+            found += name in got
+            wrong += sum(x != name for x in got)
+    wrong += sum(len(pii.mentions(t)) for t in CAPITALS)
+    total = len(HELD_OUT) * len(HELD_OUT_CARRIERS)
+    assert found / total > 0.9 and found / (found + wrong) > 0.9
+
+
+def test_probabilities_equal_those_of_all_sequences():
+    """Z, each segment's probability and each step's against the sum over all sequences of segments."""
+    import itertools
+    import math
+    import random
+
+    rng = random.Random(3)
+    arcs = sorted((a + rng.randint(1, 6), a, rng.choice(pii.KINDS), []) for a in (rng.randrange(20) for _ in range(8)))
+    scores = [rng.uniform(-2, 2) for _ in arcs]
+    weight = {(i, j): rng.uniform(-1, 1) for i in range(-1, 8) for j in range(8)}
+    log_z, p, steps = pii.marginals(arcs, scores, lambda i, j: weight[i, j])
+    z, one, two = 0.0, [0.0] * 8, {}
+    for n in range(9):
+        for seq in itertools.combinations(range(8), n):
+            if all(arcs[i][0] <= arcs[j][1] for i, j in zip(seq, seq[1:])):
+                w = math.exp(sum(scores[j] for j in seq) + sum(weight[i, j] for i, j in zip((-1, *seq), seq)))
+                z += w
+                for i, j in zip((-1, *seq), seq):
+                    one[j] += w
+                    two[i, j] = two.get((i, j), 0.0) + w
+    assert abs(log_z - math.log(z)) < 1e-9 and all(abs(a - b / z) < 1e-9 for a, b in zip(p, one))
+    assert all(abs(q - two.get((i, j), 0.0) / z) < 1e-9 for i, j, q in steps)
+
+
+def test_segments_of_any_length():
+    street = "12345 " + "Verylongname " * 12 + "Street"
+    mail = "a" * 150 + "@" + "b.c." * 12 + "example.com"
+    for text, kind, value in ((f"Deliver it to {street} on Sunday.", "street_address", street), (f"Write to {mail} now", "email", mail)):
+        assert [(text[a:b], k) for a, b, k in pii.mentions(text)] == [(value, kind)]
+
+
 @pytest.mark.parametrize("name", ["Liam Smith", "Sophie Martin", "Brandon Cooper", "Иван Петров", "Мария Соколова"])
 @pytest.mark.parametrize("carrier", ["Signed by {} for the team.", "Attendees: {} and the legal team.", "Kind regards,\n{}\nThe desk.", "Ask {} where it went."])
 def test_names_of_no_list(name, carrier):
