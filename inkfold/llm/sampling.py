@@ -40,12 +40,12 @@ def flight(p: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarray
     than there are variables."""
     p = p.copy()
     eps = 1e-9
-    todo = [i for i in range(len(p)) if eps < p[i] < 1 - eps]
+    todo = [i for i in range(len(p) - 1, -1, -1) if eps < p[i] < 1 - eps]
     q = x.shape[1]
     work: list[int] = []
     while True:
         while len(work) < q + 1 and todo:
-            work.append(todo.pop(0))
+            work.append(todo.pop())
         if not work:
             break
         a = x[work].T
@@ -55,7 +55,7 @@ def flight(p: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarray
         if len(work) <= rank:
             if not todo:
                 break
-            work.append(todo.pop(0))
+            work.append(todo.pop())
             continue
         u = np.linalg.svd(a)[2][-1] if len(a) else np.eye(len(work))[0]
         u[np.abs(u) < 1e-9] = 0
@@ -92,24 +92,26 @@ def balanced_sample(units: DataFrame, targets: DataFrame, divisor: int = 5, salt
     ``selected - least(wanted, available)``. Nulls take no part; empty tables give an empty sample.
     """
     t = cut(supply(units, targets, divisor))
-    cell = t.select(_plain("category").alias("_c"), _plain("context_variant").alias("_v"), F.dense_rank().over(_by("category", "context_variant")).alias("cell"), "wanted", "available").where("available > 0")
+    cell = t.select(_plain("category").alias("_c"), _plain("context_variant").alias("_v"), "wanted", "available").where("available > 0")
     cell = F.broadcast(cell) if small(targets, TARGET_BYTES) else cell
     # an example's cell is the least of those that targets name, as supply() counts them
     of = units.where("example_id is not null").select("example_id", _plain("category").alias("_c"), _plain("context_variant").alias("_v")).join(cell, ["_c", "_v"])
-    one = of.groupBy("example_id").agg(F.min(F.struct("_c", "_v", "cell", "wanted", "available")).alias("s")).select("example_id", "s.*")
-    drawn = one.select("example_id", "_c", "_v", (F.col("cell") - 1).cast("int").alias("cell"), F.least(F.lit(1.0), F.col("wanted") / F.col("available")).alias("p"), _rank(salt, "example_id").alias("h"))
-    drawn = cut(drawn)
-    n, q = drawn.count(), targets.count()
-    groups = max(1, -(-n // GROUP))
-    schema = "example_id string, _c string, _v string, cell int, p double, h string, g long"
+    one = of.groupBy("example_id").agg(F.min(F.struct("_c", "_v", "wanted", "available")).alias("s")).select("example_id", "s.*")
+    drawn = cut(one.select("example_id", "_c", "_v", F.least(F.lit(1.0), F.col("wanted") / F.col("available")).alias("p"), _rank(salt, "example_id").alias("h")))
+    groups = max(1, -(-drawn.count() // GROUP))
+    schema = "example_id string, _c string, _v string, p double, h string, g long"
 
     def settle(last: bool):
         def run(g: pd.DataFrame) -> pd.DataFrame:
             g = g.sort_values(["h", "example_id"]).reset_index(drop=True)
-            x = np.zeros((len(g), q))
-            x[np.arange(len(g)), g["cell"].to_numpy()] = 1.0
             rng = np.random.default_rng(int(g["h"].iloc[0][:12], 16))
-            g["p"] = (land if last else flight)(g["p"].to_numpy(), x, rng)
+            p = g["p"].to_numpy(copy=True)
+            # indicators of different cells share no unit, so each cell flies by itself; then what is left, on its number
+            for _, at in sorted(g.groupby(["_c", "_v"]).indices.items()):
+                p[at] = flight(p[at], np.ones((len(at), 1)), rng)
+            if last and len(open_ := np.nonzero((p > 0) & (p < 1))[0]):
+                p[open_] = land(p[open_], np.ones((len(open_), 1)), rng)
+            g["p"] = p
             return g
 
         return run
@@ -133,12 +135,6 @@ def balanced_sample(units: DataFrame, targets: DataFrame, divisor: int = 5, salt
     return sample.withColumnsRenamed({"_c": "category", "_v": "context_variant"}), report
 
 
-def _by(*columns: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(*columns)  # over the targets, which are few
-
-
 def stable_sample(rows: DataFrame, family_rate: float, example_rate: float, salt: str = "sample-v1") -> DataFrame:
     """``(family_id, example_id)``: distinct members of a sample that depends on the keys and the salt alone.
 
