@@ -3,24 +3,30 @@
 Texts become words without case and punctuation. Each window of ``words`` words of a document walks through the CGK
 embedding: at step t the word under the pointer is written out, and a random bit of (t, word) says whether the pointer
 moves on. Windows that differ by few edits meet again after few steps, so edit distance turns into Hamming distance,
-and a sample of the written places is a locality-sensitive key. Enough walks with own random bits and samples are made
-to reach the wanted recall at the allowed number of edits; equal windows always meet, so without edits one walk finds
-everything. Every meeting is verified on the words themselves.
+and a sample of the written places is a locality-sensitive key. As many walks with own random bits and samples are made
+as reach the wanted recall on windows perturbed by the allowed number of edits; equal windows are equal in every walk,
+so without edits one walk has recall 1. Every meeting is verified on the words themselves.
 
-Items are the stated query set: their windows go to every task in blocks of bounded size, all documents against each.
+The keys of up to ``BLOCK`` windows of items go to every task as one broadcast value; those of more items are joined
+with the documents' keys as tables, and the texts come to the meetings that are left. Either way the documents are
+read once.
 """
 
 from __future__ import annotations
 
-import math
+import random
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 1_000_000  # item windows that a task holds at once: 8 bytes of key and 8 of place each
+from inkfold.session import cut
+
+BLOCK = 1_000_000  # item windows times walks that are broadcast: 8 bytes of key and 8 of place each
+TRIALS = 2_000  # perturbed windows on which recall is measured
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -35,16 +41,29 @@ def _mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
+@lru_cache(64)
 def repetitions(words: int, edits: int, sample: int, recall: float) -> int:
-    """Walks needed so that windows within ``edits`` edits share a key with probability ``recall``.
-
-    Two walks at edit distance k differ in about 3 * k * (k + 1) of their 3n places for the small k of windows, with
-    the places that their shifted ends cost; each sampled place agrees with the share of the rest.
-    """
+    """Walks of which at least one gives the same key to a window and to the same window after ``edits`` random edits,
+    in a share ``recall`` of TRIALS windows of different words."""
     if edits == 0:
         return 1
-    p = max(0.02, 1 - min(0.9, 3 * edits * (edits + 1) / (3 * words))) ** sample
-    return math.ceil(math.log(1 - recall) / math.log(1 - p))
+    rng = random.Random(words * 1000 + edits)
+    word = lambda: f"{rng.getrandbits(40):x}"
+    one, two = [], []
+    for _ in range(TRIALS):
+        a = [word() for _ in range(words)]
+        b = [*a, *(word() for _ in range(edits))]
+        for _ in range(edits):
+            j = rng.randrange(words)
+            b[j : j + 1] = rng.choice([[], [word()], [b[j], word()]])
+        one.append(" ".join(a))
+        two.append(" ".join([*b, *(word() for _ in range(edits))][:words]))
+    (_, h, _, at), (_, g, _, to) = windows(one, words), windows(two, words)
+    met, n = np.zeros(TRIALS, dtype=bool), 0
+    while met.mean() < recall:
+        met |= walk_keys(h, at, at + words, words, sample, n) == walk_keys(g, to, to + words, words, sample, n)
+        n += 1
+    return n
 
 
 def walk_keys(h: np.ndarray, start: np.ndarray, end: np.ndarray, words: int, sample: int, walk: int) -> np.ndarray:
@@ -89,7 +108,7 @@ def edits_within(a: list[str], b: list[str], most: int) -> bool:
     return min(d.values()) <= most
 
 
-def leaks(docs: DataFrame, items: DataFrame, words: int = 13, edits: int = 0, recall: float = 0.99, sample: int = 6, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, words: int = 13, edits: int = 0, recall: float = 0.95, sample: int = 6, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """``(doc, item)``: each document and item such that a window of ``words`` words of the item stands in the document
     with at most ``edits`` words inserted, deleted or replaced. Each pair comes once.
 
@@ -98,52 +117,86 @@ def leaks(docs: DataFrame, items: DataFrame, words: int = 13, edits: int = 0, re
     item_rows = items.select(F.col(item_col).alias("item"), plain_words(F.col(text_col)).alias("t")).where(F.size(F.split("t", " ")) >= words).distinct()
     doc_rows = docs.select(F.col(doc_col).alias("doc"), plain_words(F.col(text_col)).alias("t")).where(F.size(F.split("t", " ")) >= words - edits)
     walks = repetitions(words, edits, sample, recall)
-    parts = None
-    schema = f"doc {docs.schema[doc_col].dataType.simpleString()}, item {items.schema[item_col].dataType.simpleString()}"
-    for block in _blocks(item_rows, words):
-        ids, texts = block["item"].tolist(), block["t"].tolist()
-        every, h, owner, start = windows(texts, words)
+    item_rows = cut(item_rows)
+    size = item_rows.agg(F.coalesce(F.sum(F.size(F.split("t", " ")) + (1 - words)), F.lit(0)).alias("n")).first()["n"]
+    doc_type, item_type = docs.schema[doc_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
+    if size * walks <= BLOCK:
+        block = item_rows.toPandas()
+        ids = block["item"].tolist()
+        every, h, owner, start = windows(block["t"].tolist(), words)
         tables = []
         for w in range(walks):
             keys = walk_keys(h, start, start + words, words, sample, w)
             order = np.argsort(keys, kind="stable")
             tables.append((keys[order], order))
-        found = doc_rows.mapInPandas(_finder(tables, ids, every, owner, start, words, edits, sample), schema)
-        parts = found if parts is None else parts.union(found)
-    if parts is None:
-        parts = docs.sparkSession.createDataFrame([], schema)
-    return parts.distinct().select(F.col("doc").alias(doc_col), F.col("item").alias(item_col))
-
-
-def _blocks(item_rows: DataFrame, words: int) -> Iterator[pd.DataFrame]:
-    """The items in blocks of at most BLOCK windows, or of one item; only one block is on the driver at a time."""
-    rows, count = [], 0
-    for r in item_rows.toLocalIterator():
-        n = r["t"].count(" ") + 2 - words
-        if rows and count + n > BLOCK:
-            yield pd.DataFrame(rows, columns=["item", "t"])
-            rows, count = [], 0
-        rows.append((r["item"], r["t"]))
-        count += n
-    if rows:
-        yield pd.DataFrame(rows, columns=["item", "t"])
-
-
-def _finder(tables, ids, item_words, item_of, item_start, words: int, edits: int, sample: int):
+        shared = docs.sparkSession.sparkContext.broadcast((tables, ids, every, owner, start))
+        found = doc_rows.mapInPandas(_finder(shared, words, edits, sample), f"doc {doc_type}, item {item_type}")
+    else:
+        found = _joined(doc_rows, item_rows, words, edits, sample, walks, doc_type, item_type)
+    return found.distinct().select(F.col("doc").alias(doc_col), F.col("item").alias(item_col))
+
+
+def _pieces(b: pd.DataFrame, most: int = 4_000_000) -> Iterator[pd.DataFrame]:
+    """Rows of a batch in pieces of at most so many letters, or of one text."""
+    size = np.cumsum(b["t"].str.len().to_numpy()) // most
+    for p in np.unique(size):
+        yield b[size == p]
+
+
+def _doc_windows(texts: list[str], words: int, edits: int):
+    """A document's windows may be cut short by its end as far as words may be missing."""
+    every, h, owner, start = windows(texts, max(1, words - edits))
+    last = np.cumsum([t.count(" ") + 1 for t in texts])
+    return every, h, owner, start, np.minimum(start + words, last[owner]), last
+
+
+def _joined(docs: DataFrame, items: DataFrame, words: int, edits: int, sample: int, walks: int, doc_type: str, item_type: str) -> DataFrame:
+    """The same by a join on the keys of each walk; keys of many windows are split by the join's skew handling."""
+
+    def emit(whose: str):
+        def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for some in _pieces(b):
+                    ids, texts = some[whose].to_numpy(), some["t"].tolist()
+                    _, h, owner, start, end, last = _doc_windows(texts, words, edits if whose == "doc" else 0)
+                    if not len(start):
+                        continue
+                    first = last[owner] - np.array([t.count(" ") + 1 for t in texts])[owner]
+                    for w in range(walks):
+                        key = walk_keys(h, start, end, words, sample, w)
+                        yield pd.DataFrame({"walk": w, "key": key.view(np.int64), whose: ids[owner], whose[0]: (start - first).astype(np.int32)})
+
+        return keys
+
+    d = docs.mapInPandas(emit("doc"), f"walk int, key long, doc {doc_type}, d int")
+    i = items.mapInPandas(emit("item"), f"walk int, key long, item {item_type}, i int")
+    met = cut(d.join(i, ["walk", "key"]).select("doc", "item", "d", "i").distinct())
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            good = []
+            for x, y, at, to in zip(b["ti"], b["td"], b["i"], b["d"]):
+                good.append(edits_within(x.split(" ")[at : at + words], y.split(" ")[to : to + words + edits], edits))
+            yield b.loc[good, ["doc", "item"]]
+
+    texts = met.join(docs.withColumnRenamed("t", "td"), "doc").join(items.withColumnRenamed("t", "ti"), "item")
+    return texts.select("doc", "item", "d", "i", "td", "ti").mapInPandas(verify, f"doc {doc_type}, item {item_type}")
+
+
+def _finder(shared, words: int, edits: int, sample: int):
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables, ids, item_words, item_of, item_start = shared.value
         for b in batches:
-            size = np.cumsum(b["t"].str.len().to_numpy()) // 4_000_000
-            for p in np.unique(size):
-                some = b[size == p]
-                docs, texts = some["doc"].to_numpy(), some["t"].tolist()
-                every, h, owner, start = windows(texts, max(1, words - edits))
-                last = np.cumsum([t.count(" ") + 1 for t in texts])
-                end = np.minimum(start + words, last[owner])
+            for some in _pieces(b):
+                docs = some["doc"].to_numpy()
+                every, h, owner, start, end, last = _doc_windows(some["t"].tolist(), words, edits)
                 pairs = set()
                 for w, (keys, place) in enumerate(tables):
+                    if not len(keys):
+                        continue
                     key = walk_keys(h, start, end, words, sample, w)
                     lo = np.searchsorted(keys, key, "left")
-                    hit = np.nonzero((lo < len(keys)) & (keys[np.minimum(lo, len(keys) - 1)] == key))[0]
+                    hit = np.nonzero(keys[np.minimum(lo, len(keys) - 1)] == key)[0]
                     hi = np.searchsorted(keys, key[hit], "right")
                     for i, c, d in zip(hit.tolist(), lo[hit].tolist(), hi.tolist()):
                         for j in place[c:d].tolist():

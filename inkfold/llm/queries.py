@@ -87,6 +87,11 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
 
+def p9_near(spark: SparkSession, sf: str) -> DataFrame:
+    """Items of which 13 words stand in a document with at most two words inserted, deleted or replaced."""
+    return leaks.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), edits=2)
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return garbled.garbled(table(spark, sf, "documents")).select("doc_id")
 

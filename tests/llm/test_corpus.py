@@ -60,24 +60,28 @@ def test_leaks_exact(spark):
     assert K.leaks(d.limit(0), i).count() == K.leaks(d, i.limit(0)).count() == 0
 
 
-def test_leaks_with_edits_reach_recall(spark):
+@pytest.mark.parametrize("edits", [0, 1, 2, 3])
+def test_leaks_with_edits_reach_recall(spark, edits):
+    """A thousand items, each in a document after so many random edits; nothing but those pairs comes out."""
     rng = random.Random(8)
-    items = [(i, _sentence(rng, 13)) for i in range(120)]
-    docs, want = [], set()
+    items = [(i, _sentence(rng, 13)) for i in range(1000)]
+    docs = []
     for i, t in items:
         w = t.split()
-        j = rng.randrange(13)
-        w[j : j + 1] = rng.choice([[], [_sentence(rng, 1)], [w[j], _sentence(rng, 1)]])
+        for _ in range(edits):
+            j = rng.randrange(len(w))
+            w[j : j + 1] = rng.choice([[], [_sentence(rng, 1)], [w[j], _sentence(rng, 1)]])
         docs.append((i, _sentence(rng, 20) + " " + " ".join(w) + " " + _sentence(rng, 20)))
-        want.add((i, i))
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = {tuple(r) for r in K.leaks(d, i, edits=1, recall=0.95).collect()}
-    assert len(got & want) >= 0.9 * len(want) and got <= want
+    got = {tuple(r) for r in K.leaks(d, i, edits=edits).collect()}
+    true = {(i, i) for i, _ in items}
+    assert len(got & true) >= (0.95 if edits else 1) * len(true) and got <= true
 
 
-def test_leaks_in_blocks(spark, monkeypatch):
+def test_leaks_by_join(spark, monkeypatch):
     monkeypatch.setattr(K, "BLOCK", 20)
     test_leaks_exact(spark)
+    test_leaks_with_edits_reach_recall(spark, 1)
 
 
 @pytest.mark.parametrize("true,wrong,text", [("utf-8", w, "Où est passé le dernier modèle, déjà jeté ?") for w in ("latin-1", "cp1252", "cp437", "cp850", "mac_roman", "cp1251")] + [("utf-8", "cp1252", "Мы перенесли встречу на четверг"), ("cp1251", "latin-1", "Мы перенесли встречу на четверг"), ("koi8-r", "cp1252", "Мы перенесли встречу на четверг"), ("cp932", "cp1252", "この図面はまだ下書きです。返事を待っています。")])
