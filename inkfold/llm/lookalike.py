@@ -25,23 +25,37 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Letters of other scripts and their Latin twins, position by position.
-CYRILLIC = "аеорсухіѕјһԁԛԝӏѵкмтвнгпзАВЕКМНОРСТУХІЅЈԚԜӀҮЗ"
-CYRILLIC_LATIN = "aeopcyxisjhdqwlvkmtbhrn3ABEKMHOPCTYXISJQWlY3"
+CYRILLIC = "аеорсухіѕјһԁԛԝӏѵкмтвнгпзАВЕКМНОРСТУХІЅЈԚԜӀҮЗҽѡѐҮԌԐ"
+CYRILLIC_LATIN = "aeopcyxisjhdqwlvkmtbhrn3ABEKMHOPCTYXISJQWlY3ewèYGE"
 GREEK = "οαρυικντχγηεωΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϲϳ"
 GREEK_LATIN = "oapuikvtxyneωABEZHIKMNOPTYXCcj"
 ARMENIAN = "օսհոցքզՕՍՏԼ"
 ARMENIAN_LATIN = "ouhngpqOUSL"
 CHEROKEE = "ᎠᎡᎢᎪᎬᎳᎷᎻᏀᏃᏎᏏᏐᏒᏔᏕᏙᏚᏞᏟᏢᏦᏩ"
 CHEROKEE_LATIN = "DRTAEWMHGZ4bIRWSVSLCPKG"
-# Letters of the Latin script itself that pass for plain ones.
-LATIN_TWINS = {"ɡ": "g", "ɑ": "a", "ı": "i", "ɩ": "i", "ʟ": "l", "ᴏ": "o", "ᴄ": "c", "ᴜ": "u", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s", "ǀ": "l", "ʋ": "v", "ꞁ": "l"}
+LISU = "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ"
+LISU_LATIN = "BPDTGKJCZFMNLSRVHWXYAEIOU"
+COPTIC = "ⲟⲞⲣⲢⲥⲤⲎⲔⲘⲚⲦⲂⲒⲬ"
+COPTIC_LATIN = "oOpPcCHKMNTBIX"
+DESERET = "𐐬𐐄𐐽𐑈𐐠𐐕"
+DESERET_LATIN = "oOcsSC"
+#: Letters of the Latin script itself that pass for plain ones, beside the small capitals, which their names tell.
+LATIN_TWINS = {"ɡ": "g", "ɑ": "a", "ı": "i", "ɩ": "i", "ǀ": "l", "ʋ": "v", "ꞁ": "l", "ꬲ": "e", "ꬽ": "o"}
+LATIN_TWINS |= {
+    chr(o): m.group(1).lower()
+    for a, b in ((0x250, 0x2B0), (0x1D00, 0x1D80), (0xA730, 0xA800))
+    for o in range(a, b)
+    if (m := re.fullmatch("LATIN LETTER SMALL CAPITAL ([A-Z])", unicodedata.name(chr(o), "")))
+}
+#: Words that show a text to be in a language without dotless i.
+DOTTED = set("the and of to is for in on with by at you please der die das und ist le la les de et el los una que".split())
 
 SPACES = "   -   　"
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁤⁦-⁩ㅤ﻿ﾠ\U000e0001-\U000e007f"
 
 _TWINS: dict[str, dict[str, str]] = {"Latin": {}, "Cyrillic": {}, "Greek": {}}
-for _own, _latin, _name in ((CYRILLIC, CYRILLIC_LATIN, "Cyrillic"), (GREEK, GREEK_LATIN, "Greek"), (ARMENIAN, ARMENIAN_LATIN, ""), (CHEROKEE, CHEROKEE_LATIN, "")):
-    for _a, _b in zip(_own, _latin):
+for _own, _latin, _name in ((CYRILLIC, CYRILLIC_LATIN, "Cyrillic"), (GREEK, GREEK_LATIN, "Greek"), (ARMENIAN, ARMENIAN_LATIN, ""), (CHEROKEE, CHEROKEE_LATIN, ""), (LISU, LISU_LATIN, ""), (COPTIC, COPTIC_LATIN, ""), (DESERET, DESERET_LATIN, "")):
+    for _a, _b in zip(_own, _latin, strict=True):
         if _b.isascii():
             _TWINS["Latin"].setdefault(_a, _b)
             if _name:
@@ -78,8 +92,6 @@ def scripts(ch: str) -> frozenset[str] | None:
 @lru_cache(65536)
 def plain(ch: str) -> str:
     """The plain form of a letter or digit in a compatibility form; the character itself otherwise."""
-    if ch in LATIN_TWINS:
-        return LATIN_TWINS[ch]
     if unicodedata.category(ch)[0] not in "LN" or ch == "µ":
         return ch
     tag = unicodedata.decomposition(ch).split(" ")[0]
@@ -98,6 +110,18 @@ def resolved(run: str) -> frozenset[str] | None:
     return common
 
 
+@lru_cache(65536)
+def twin(ch: str, target: str) -> str | None:
+    """The letter of the target script that looks like this one; an accent goes over to it."""
+    if ch in _TWINS[target]:
+        return _TWINS[target][ch]
+    base, *marks = unicodedata.normalize("NFD", ch)
+    if marks and base in _TWINS[target]:
+        out = unicodedata.normalize("NFC", _TWINS[target][base] + "".join(marks))
+        return out if len(out) == 1 else None
+    return None
+
+
 def _spell(run: str, target: str) -> str | None:
     """The run in the target script, or None where a letter has no twin there."""
     out = []
@@ -105,21 +129,38 @@ def _spell(run: str, target: str) -> str | None:
         s = scripts(ch)
         if s is None or target in s:
             out.append(ch)
-        elif ch in _TWINS[target]:
-            out.append(_TWINS[target][ch])
+        elif (t := twin(ch, target)) is not None:
+            out.append(t)
         else:
             return None
     return "".join(out)
 
 
-def _mixed(run: str) -> str:
-    """The consistent spelling of a mixed run: the script that most letters without a twin demand, Latin first."""
+def _mixed(run: str, around: frozenset[str]) -> str:
+    """The consistent spelling of a mixed run: the script that most letters without a twin demand, Latin first. Where
+    Latin cannot spell it, a script of fewer letters than the Latin ones must be that of words ``around``."""
     options = [(t, w) for t in ("Latin", "Cyrillic", "Greek") if (w := _spell(run, t)) is not None]
     if not options:
         return run
-    own = {t: sum(t in (scripts(c) or ()) for c in run) for t, _ in options}
-    fixed = {t: sum(t in (scripts(c) or ()) and (c in _WEAK or not any(c in _TWINS[u] for u in _TWINS if u != t)) for c in run) for t, _ in options}
-    return max(options, key=lambda o: (fixed[o[0]], o[0] == "Latin", own[o[0]]))[1]
+    own = {t: sum(t in (scripts(c) or ()) for c in run) for t in ("Latin", "Cyrillic", "Greek")}
+    fixed = {t: sum(t in (scripts(c) or ()) and (c in _WEAK or not any(twin(c, u) for u in _TWINS if u != t)) for c in run) for t, _ in options}
+    target, word = max(options, key=lambda o: (fixed[o[0]], o[0] == "Latin", own[o[0]]))
+    if target != "Latin" and options[0][0] != "Latin" and own[target] < own["Latin"] and target not in around:
+        return run
+    return word
+
+
+def _latin(run: str, value: str) -> str:
+    """A run with the letters of the Latin script that pass for plain ones rewritten, unless they are what they are:
+    sound signs among others, or the dotless i of a word in vowel harmony and of a text without words of other languages."""
+    if any("ɐ" <= c <= "ʯ" and c not in LATIN_TWINS or c in "ŋðθː" for c in run):
+        return run
+    low = run.lower()
+    if "ı" in low and not any(c in "eiöü" for c in low):
+        turkish = any(c in "ğşİ" for c in value)
+        if turkish or DOTTED.isdisjoint(value.lower().split()):
+            return "".join(c if c == "ı" else LATIN_TWINS.get(c, c) for c in run)
+    return "".join(LATIN_TWINS.get(c, c) for c in run)
 
 
 def _invisible(value: str) -> str:
@@ -151,7 +192,7 @@ def _whole(sentence: str, rest: str = "") -> str:
         if name not in known and name not in ("Armenian", "Cherokee"):
             continue
         run = sentence[a:b]
-        if name != "Latin" and all((c in _TWINS["Latin"] and c not in _WEAK) or scripts(c) is None for c in run):
+        if name != "Latin" and all((twin(c, "Latin") and c not in _WEAK) or scripts(c) is None for c in run):
             loose.append((a, b, name, "Latin"))
         elif name == "Latin" and len(run) <= 2 and all(c in _TWINS["Cyrillic"] and c.islower() for c in run):
             loose.append((a, b, name, "Cyrillic"))
@@ -185,12 +226,18 @@ def canonical(value: str | None) -> tuple[str | None, bool]:
     if not cjk:
         out = "".join(unicodedata.normalize("NFKC", c) if "！" <= c <= "～" else c for c in out)
     out = unicodedata.normalize("NFC", out)
-    runs = [m.span() for m in _RUN.finditer(out)]
-    parts, at = [], 0
-    for a, b in runs:
-        run = out[a:b]
-        if not run.isascii() and resolved(run) == frozenset():
-            parts += [out[at:a], _mixed(run)]
+    runs = [(*m.span(), m.group()) for m in _RUN.finditer(out)]
+    parts, at, around = [], 0, None
+    for a, b, run in runs:
+        if run.isascii():
+            continue
+        word = _latin(run, out) if any(c in LATIN_TWINS for c in run) else run
+        if resolved(word) == frozenset():
+            if around is None:
+                around = frozenset().union(*(s for *_, r in runs if (s := resolved(r)) and len(s) == 1))
+            word = _mixed(word, around)
+        if word != run:
+            parts += [out[at:a], word]
             at = b
     out = "".join([*parts, out[at:]])
     if not out.isascii():

@@ -151,3 +151,16 @@ def test_personal_edges(spark):
     df = spark.createDataFrame(rows, "row_id long, field string, value string, kinds string")
     r = pii.kinds_found(df).collect()
     assert sorted((x.row_id, x.kind) for x in r) == [(1, "phone"), (1, "phone"), (4, "email")] and pii.kinds_found(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "value,form",
+    [("ꓑaypal", "Paypal"), ("ɢoogle", "google"), ("𐐬pen", "open"), ("ⲟpen", "open"), ("ᴀpple", "apple"), ("ҽxample", "example"), ("Noёl", "Noël"), ("schӧn", "schön"), ("naїve", "naïve"), ("canciόn", "canción"), ("the fıle ıs here", "the file is here"), ("Mocквa", "Москва")],
+)
+def test_letters_of_many_scripts(value, form):
+    assert canonical(value) == (form, True) and canonical(form) == (form, False)
+
+
+@pytest.mark.parametrize("value", ["kapı", "ışık", "Paragraph kapı çok güzel", "βeta", "/ˈɡɑːdən/ garden", "αβγ test", "Это сосна"])
+def test_letters_that_are_what_they_are(value):
+    assert canonical(value) == (value, False)
