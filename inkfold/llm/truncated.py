@@ -1,14 +1,15 @@
 """Problem 1: texts that break off.
 
 A backward character n-gram model, trained on all different texts of the column, tells for the last letters of a text
-how often a text ended after them and how often it went on. Contexts of 1 to 24 letters are counted over every
-position of every different text, however often it occurs, and interpolated from short to long; a text's own end is
-left out. A text is cut off where the log-odds of ending fall below its language's and column's threshold, which lies in the widest valley of the group's
-own log-odds.
-
-Before counting, texts are brought to their one form (see ``lookalike``), numbers become 0 and capitalised words that
-few texts hold become one sign, so that contexts reach beyond names. A mark that a cut left behind (dots, a
-replacement character, a bracketed note) is taken off when the model has not met it after the letters before it.
+how often a text, a line or a sentence was complete after them and how often it went on. Contexts of 1 to 24 letters
+are counted over every position of every different text, however often it occurs, and interpolated from short to long;
+a text's own end is left out. A text is cut off where the log-odds of ending fall below its language's and column's
+threshold, which lies in the widest valley of the group's own log-odds. No ending is exempt: stops, brackets, quotes and
+emoji are letters that the model reads like others.
+
+Before counting, texts are brought to their one form (see ``lookalike``), numbers become 0 and words that few texts hold
+become one of two signs, emoji a third, so that contexts reach beyond names. A mark that a cut left behind (dots, a replacement
+character, a bracketed note) is taken off when the model has not met it after the letters before it.
 """
 
 from __future__ import annotations
@@ -25,23 +26,25 @@ from pyspark.sql import functions as F
 from inkfold.llm.lookalike import canonical
 from inkfold.session import cut
 
-ORDERS = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 20, 24)
+ORDERS = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 16, 20, 24)
 WEIGHT = 6.0  # of the shorter context's estimate, in observations
 LABEL = 0.3  # least share of a label's occurrences that have its mark
 OFTEN = 8  # copies that make a label of a text short enough for one context, if its letters seldom go on elsewhere
 BITS = 22  # buckets of the bit map of last contexts: half a megabyte, whatever the corpus
 SEEN = 4  # observations that a context needs to be used
-NAME = "\x01"  # stands for a capitalised word that few texts hold
+NAME, WORD, PICTURE = "\x01", "\x02", "\x03"  # stand for a capitalised and a small word that few texts hold, and for emoji
+WORDS = 200_000  # most common words that are broadcast
 RARE = 375  # a word is common if it is in at least one of so many texts, so that common words are boundedly many
 LEAST = 2  # and in at least so many texts: a word met once tells nothing
 CENTRE, LOW, HIGH = -2.6, -3.6, -1.8  # where thresholds lie without evidence, and their range
 POOLED = 500.0  # texts that the whole field counts for in the histogram of each of its groups
 PULL = 0.002  # share of a group's texts that a threshold one unit off the centre must save
-CLOSING = r"(?:[.!?。！？]|\p{Pe}|\p{Pf}|[\"'»]|\p{So}\uFE0F?|\p{Sk})$"
-OPEN = r"(?i)(?:…|\.\.+|\uFFFD|[\[(<]+\s*(?:…|\.\.\.|truncated|cut|snip|more|continued|gekürzt|tronqué|cortado)[^\])>]*[\])>]*)$"
-_CAPITAL = regex.compile(r"\p{Lu}[\p{L}\p{M}]*")
-_CAPITAL_ASCII, _DIGIT_ASCII = re.compile(r"[A-Z][A-Za-z]*"), re.compile(r"[0-9]+")
+STOPS = np.array([ord(c) for c in ".!?。！？"], dtype=np.uint64)
+CLOSERS = np.array([ord(c) for c in ")]}”’»\"'"], dtype=np.uint64)
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+_LETTERS_ASCII, _DIGIT_ASCII = re.compile(r"[A-Za-z]+"), re.compile(r"[0-9]+")
 _DIGIT = regex.compile(r"\p{Nd}+")
+_PICTURE = regex.compile(r"[\p{So}\p{Sk}\uFE0F\u200D]+")
 _MARK = regex.compile(r"(?:\s*(?:…|\.\.\.+|�+|[\[(<]+\s*(?:…|\.\.\.|truncated|cut|snip|more|continued|gekürzt|tronqué|cortado)[^\])>]*[\])>]*))+\s*$", regex.I)
 _P = np.uint64(0x100000001B3)
 
@@ -73,15 +76,21 @@ def language(text: str) -> str:
 def shape(text: str, common: set[str], starts: set[str]) -> str:
     """The text as the model reads it."""
     t = canonical(text)[0].rstrip()
+    mark = _MARK.search(t)
+    end = mark.start() if mark else len(t)
 
-    def name(m) -> str:
+    def known(m) -> str:
         w = m.group()
-        # a word that breaks off as the start of a common one is no name
-        return w if w in common or (m.end() == len(t) and w in starts) else NAME
+        if w in common or m.start() >= end:
+            return w
+        # a word that breaks off as the start of a common one is no name; a small word at the end may be cut
+        if m.end() == end and (w[0].islower() or w in starts):
+            return w
+        return WORD if w[0].islower() else NAME
 
     if t.isascii():
-        return _DIGIT_ASCII.sub("0", _CAPITAL_ASCII.sub(name, t))
-    return _DIGIT.sub("0", _CAPITAL.sub(name, t))
+        return _DIGIT_ASCII.sub("0", _LETTERS_ASCII.sub(known, t))
+    return _PICTURE.sub(PICTURE, _DIGIT.sub("0", _LETTERS.sub(known, t)))
 
 
 def _settle(h: np.ndarray, order: int) -> np.ndarray:
@@ -102,14 +111,27 @@ def _grow(h: np.ndarray, letter: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
+def unit_ends(codes: np.ndarray) -> np.ndarray:
+    """1 where a line or sentence is complete: before a line break, and at a stop, with the closing signs after it, before
+    a blank that no small letter follows."""
+    one, two = np.append(codes[1:], 10), np.append(codes[2:], [10, 10])[: len(codes)]
+    stop = np.isin(codes, STOPS)
+    for _ in range(2):  # a stop may have two closing signs
+        stop |= np.isin(codes, CLOSERS) & np.append(False, stop[:-1])
+    small = ((two >= 97) & (two <= 122)) | ((two >= 0xDF) & (two < 0x100)) | ((two >= 0x430) & (two < 0x460))
+    return ((one == 10) | (stop & (one == 32) & ~small) | (codes == 0x3002)).astype(np.int64)
+
+
 def all_contexts(shapes: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each order, the hashes of all its contexts and whether each is an end. Contexts do not cross texts."""
     codes, n = _codes(shapes)
     stop = np.cumsum(n)
     first = np.repeat(stop - n, n)
     at = np.arange(len(codes))
-    ends = np.zeros(len(codes), dtype=np.int64)
+    ends = unit_ends(codes)
     ends[stop[n > 0] - 1] = 1
+    # a closing sign before a final stop could as well have ended the text
+    ends[:-1] |= np.isin(codes[:-1], CLOSERS) & np.isin(codes[1:], STOPS) & (ends[1:] == 1)
     h = np.zeros(len(codes), dtype=np.uint64)
     for k in range(ORDERS[-1]):
         whole = at - k >= first
@@ -131,12 +153,17 @@ def last_contexts(shapes: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarr
             yield k + 1, who, _settle(h, k + 1)
 
 
-def common_words(texts: DataFrame) -> set[str]:
-    """Capitalised words of at least one in ``RARE`` texts, and ``LEAST``: at most RARE times a text's words are many.
-    The share is the same at every size, so that more texts of a kind do not change what is common."""
+def common_words(texts: DataFrame, pattern: str = r"\p{Lu}[\p{L}\p{M}]*") -> set[str]:
+    """Words of a pattern, of at least one in ``RARE`` texts, and ``LEAST``, so that more texts of a kind do not change what is common.
+    Their number is at most RARE times a text's words; of more than ``WORDS``, the most frequent counts stay whole."""
     least = max(LEAST, -(-texts.count() // RARE))
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{Lu}[\p{L}\p{M}]*"), F.lit(0)))).alias("w"))
-    return {r["w"] for r in words.groupBy("w").count().where(F.col("count") >= least).select("w").toLocalIterator()}
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).alias("w"))
+    counted = cut(words.groupBy("w").count().where(F.col("count") >= least))
+    if counted.count() > WORDS:
+        # as many of the greatest counts as fit; the counts are at most as many as there are kept words
+        top = counted.orderBy(F.desc("count")).limit(WORDS + 1).agg(F.min("count").alias("m")).first()["m"]
+        counted = counted.where(F.col("count") > top)
+    return {r["w"] for r in counted.select("w").toLocalIterator()}
 
 
 def truncated(values: DataFrame) -> DataFrame:
@@ -150,8 +177,8 @@ def truncated(values: DataFrame) -> DataFrame:
     rows = values.where(F.col("value").isNotNull() & (F.trim("value") != "")).select("row_id", "field", "value", extra.alias("extra"))
     # a text's least row stands for it, so that texts are not carried about
     texts = cut(rows.groupBy("field", F.col("value").alias("text")).agg(F.min("row_id").alias("id"), F.count(F.lit(1)).alias("copies")))
-    words = common_words(texts)
-    common = values.sparkSession.sparkContext.broadcast((words, {w[:i] for w in words for i in range(3, len(w))}))
+    words = common_words(texts, r"\p{L}[\p{L}\p{M}]*")
+    common = values.sparkSession.sparkContext.broadcast((words, {w[:i] for w in words if w[0].isupper() for i in range(1, len(w))}))
 
     def shapes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -201,16 +228,14 @@ def truncated(values: DataFrame) -> DataFrame:
             b["log_odds"] = [odds(s, label) for s, label in zip(b["seen"], b["label"])]
             yield b[["field", "id", "lang", "log_odds"]]
 
-    # a final stop, a closing sign or an emoji ends a text, unless it belongs to the mark of a cut
-    closed = F.rtrim("text").rlike(CLOSING) & ~F.rtrim("text").rlike(OPEN)
-    scored = cut(seen.mapInPandas(judge, "field string, id long, lang string, log_odds double").join(texts.select("field", "id", "text"), ["field", "id"]).select("field", "text", "lang", "log_odds", closed.alias("closed")))
-    bins = scored.where("not closed").groupBy("field", "lang", F.floor(F.col("log_odds") * 5).alias("bin")).count().toPandas()
+    scored = cut(seen.mapInPandas(judge, "field string, id long, lang string, log_odds double").join(texts.select("field", "id", "text"), ["field", "id"]).select("field", "text", "lang", "log_odds"))
+    bins = scored.groupBy("field", "lang", F.floor(F.col("log_odds") * 5).alias("bin")).count().toPandas()
     pooled = {k: g.groupby("bin", as_index=False)["count"].sum() for k, g in bins.groupby("field")}
     limits = {k: threshold(g, pooled[k[0]]) for k, g in bins.groupby(["field", "lang"])}
     case = F.lit(CENTRE)
     for (field, lang), limit in limits.items():
         case = F.when((F.col("field") == field) & (F.col("lang") == lang), limit).otherwise(case)
-    bad = scored.where(F.col("log_odds") < case).where("not closed")
+    bad = scored.where(F.col("log_odds") < case)
     out = rows.join(bad, (rows["field"] == bad["field"]) & (rows["value"] == bad["text"])).select("row_id", rows["field"], "value", F.col("lang").alias("language"), "log_odds", "extra")
     return out.select("row_id", "field", "value", "language", "log_odds", *[F.col(f"extra.c{i}").alias(c) for i, c in enumerate(keep)])
 
@@ -231,12 +256,14 @@ def odds(seen, label: bool = False) -> float:
         with_mark = marked.get(short["order"] + short["variant"], 0) if short else 0
         if with_mark > 3 and with_mark >= LABEL * short["met"]:
             bare = []
-    p = 0.02
+    p, last = 0.02, -1
     for s in bare or own:
         self = 0 if bare else 1
         e, n = max(0, s["ended"] - self), max(0, s["met"] - self)
-        if n >= SEEN:
-            p = (e + WEIGHT * p) / (n + WEIGHT)
+        if n >= SEEN and n != last:  # the same places count once, however long their common letters
+            p, last = (e + WEIGHT * p) / (n + WEIGHT), n
+    if last < 0:
+        return 0.0  # letters that no other text has tell nothing
     p = min(max(p, 1e-9), 1 - 1e-9)
     return float(np.log(p / (1 - p)))
 

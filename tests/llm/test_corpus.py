@@ -175,6 +175,17 @@ def test_truncation_of_repeated_texts(spark):
     assert got == {c: 1000 for c in cuts}
 
 
+def test_truncation_after_a_closing_sign(spark):
+    """A stop that others go on after is no end: the model reads it, no rule exempts it."""
+    rng = random.Random(12)
+    nouns = "report invoice ledger memo budget agenda glossary template".split()
+    texts = [f"Please send the {rng.choice(nouns)} for room {i}. It costs {rng.randint(2, 9)}.{rng.randint(10, 99)} euros (tax included)." for i in range(800)]
+    whole = ["Please send the report to room 7.", "It costs 3.50 euros (tax included)", "Please send the memo 🙂"] * 3
+    cuts = ["Please send the memo for room 9. It costs 3.", "Please send the budget for room 4. It costs 5.20 euros (tax"]
+    df = spark.createDataFrame([(i, "v", t) for i, t in enumerate(texts + whole + cuts)], "row_id long, field string, value string")
+    assert {r.value for r in TR.truncated(df).collect()} == set(cuts)
+
+
 def test_stable_sample_keeps_members(spark):
     rows = [(f"f{i % 90}", f"e{i}") for i in range(2000)] + [(None, "e"), ("f", None), ("", "")]
     df = spark.createDataFrame(rows, "family_id string, example_id string")
