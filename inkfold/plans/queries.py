@@ -592,9 +592,16 @@ def typing_distances(spark, sf):
     return pairs.select("shorthand", "expansion", F.levenshtein(s, e).alias("edits"), D.typing_distance_of(s, e).alias("typing"), D.ratio_of(s, e).alias("ratio"))
 
 
+def _all() -> None:
+    """The other modules of queries register theirs when they are imported."""
+    from inkfold.plans import checks  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(SQL)
