@@ -32,6 +32,15 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\s\u0085  ]+", " "))
 
 
+#: White space as Unicode has it.
+SPACES = "[\\s\\x0b\\x1c-\\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
+def collapse_all(text: Column) -> Column:
+    """As ``collapse``, for all white space of Unicode."""
+    return F.trim(F.regexp_replace(text, SPACES, " "))
+
+
 def fold(text: Column) -> Column:
     """Collapsed and lower-cased."""
     return F.lower(collapse(text))
@@ -99,6 +108,38 @@ def round_to(n: Column, d: Column, places: int) -> Column:
     return F.when(d == 0, F.lit(0.0)).otherwise(F.round(n / d, places))
 
 
+def _casefold(nfkc: bool, last: bool):
+    """Collapsed and case-folded as Unicode defines it; ``last``: white space is collapsed after folding, not before."""
+
+    def one(value: str | None) -> str | None:
+        if value is None:
+            return None
+        t = unicodedata.normalize("NFKC", value) if nfkc else value
+        return " ".join(t.strip().casefold().split()) if last else " ".join(t.split()).casefold()
+
+    return F.pandas_udf(lambda s: pd.Series([one(v) for v in s], dtype=object), "string")
+
+
+def folded_exact(text: Column) -> Column:
+    """Compatibility forms, white space and case folded; signs stay."""
+    return _casefold(True, False)(text)
+
+
+def folded_after(text: Column) -> Column:
+    """As ``folded_exact``, with white space collapsed last, so that what folding makes of it collapses too."""
+    return _casefold(True, True)(text)
+
+
+def folded_case(text: Column) -> Column:
+    """White space and case folded as Unicode defines them; compatibility forms stay."""
+    return _casefold(False, False)(text)
+
+
+def round_exact(value: Column, places: int) -> Column:
+    """The double rounded half to even by its exact binary value, as ``round(2.675, 2) == 2.67``."""
+    return F.pandas_udf(lambda s: s.map(lambda v: round(v, places), na_action="ignore"), "double")(value)
+
+
 def _exact(value: str | None) -> str | None:
     if value is None:
         return None

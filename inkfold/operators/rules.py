@@ -13,8 +13,9 @@ DIMENSIONS = ("correctness", "context_grounding", "context_usefulness", "meaning
 
 def source_reason(text: Column, profane: Column | None = None) -> Column:
     """The first reason against a source text; null for a good one. Null counts as empty."""
-    c = F.when(F.coalesce(F.trim(text), F.lit("")) == "", "empty").when(text.rlike(r"[\n\r]"), "multiline").when(~text.rlike(r"\p{L}"), "not_text")
+    c = F.when(F.coalesce(T.collapse_all(text), F.lit("")) == "", "empty").when(text.rlike(r"[\n\r]"), "multiline").when(~text.rlike("[A-Za-z]"), "not_text")
     c = c if profane is None else c.when(profane, "profanity")
+    text = T.collapse_all(text)
     for name, pattern in (("email", T.EMAIL), ("url", T.URL), ("phone", T.PHONE), ("handle", T.HANDLE), ("markup", T.MARKUP), ("code", T.CODE)):
         c = c.when(text.rlike(pattern), name)
     return c
@@ -40,13 +41,13 @@ def profane(rows: DataFrame, text: str, lexicon: DataFrame, out: str = "profane"
 
 
 def vocabulary_reason(rows: DataFrame, text: str, lexicon: DataFrame, least: float = 3.0, out: str = "reason") -> DataFrame:
-    """``rows`` with ``no_english_token`` or ``rare_token`` where a token of ``text`` is missing from ``lexicon(word,
+    """``rows`` with ``no_english_tokens`` or ``rare_or_misspelled_token`` where a token of ``text`` is missing from ``lexicon(word,
     zipf)`` or rarer than ``least``; null otherwise."""
     texts = rows.select(F.col(text).alias("_t")).where("_t is not null").distinct()
     pairs = texts.select("_t", F.explode_outer(F.array_distinct(T.english_tokens(F.lower("_t")))).alias("word"))
     common = lexicon.where(F.col("zipf") >= least).select(F.lower("word").alias("word")).distinct().withColumn("_ok", F.lit(True))
     judged = pairs.join(common, "word", "left").groupBy("_t").agg(F.count("word").alias("n"), F.count("_ok").alias("ok"))
-    reason = F.when(F.col("n") == 0, "no_english_token").when(F.col("ok") < F.col("n"), "rare_token")
+    reason = F.when(F.col("n") == 0, "no_english_tokens").when(F.col("ok") < F.col("n"), "rare_or_misspelled_token")
     return rows.join(judged.select("_t", reason.alias(out)), rows[text] == F.col("_t"), "left").drop("_t")
 
 

@@ -77,11 +77,12 @@ _PH = r"(?:^|[^\p{L}\p{N}_])(?:\+?\p{Nd}[\s().-]*){7,}(?:[^\p{L}\p{N}_]|$)"
 
 def _reject_sql(x: str) -> str:
     q = lambda p: p.replace("'", "''")
-    return f"""case when coalesce(trim({x}, ' '), '') = '' then 'empty' when regexp_matches({x}, '[\\n\\r]') then 'multiline'
-      when not regexp_matches({x}, '\\p{{L}}') then 'not_text' when regexp_matches({x}, '{q(T.EMAIL)}') then 'email'
-      when regexp_matches({x}, '{q(T.URL)}') then 'url' when regexp_matches({x}, '{_PH}') then 'phone'
-      when regexp_matches({x}, '{q(T.HANDLE)}') then 'handle' when regexp_matches({x}, '{q(T.MARKUP)}') then 'markup'
-      when regexp_matches({x}, '{q(T.CODE)}') then 'code' end"""
+    y = f"trim(regexp_replace({x}, '[\\s\\v\u0085\u00a0\u2028\u2029]+', ' ', 'g'))"
+    return f"""case when coalesce({y}, '') = '' then 'empty' when regexp_matches({x}, '[\\n\\r]') then 'multiline'
+      when not regexp_matches({x}, '[A-Za-z]') then 'not_text' when regexp_matches({y}, '{q(T.EMAIL)}') then 'email'
+      when regexp_matches({y}, '{q(T.URL)}') then 'url' when regexp_matches({y}, '{_PH}') then 'phone'
+      when regexp_matches({y}, '{q(T.HANDLE)}') then 'handle' when regexp_matches({y}, '{q(T.MARKUP)}') then 'markup'
+      when regexp_matches({y}, '{q(T.CODE)}') then 'code' end"""
 
 
 @query(f"select lang, coalesce({_reject_sql('line')}, 'good') as reason, count(*) as n from (select lang, unnest(string_split(text, chr(10))) as line from documents) group by all")
@@ -594,7 +595,7 @@ def typing_distances(spark, sf):
 
 def _all() -> None:
     """The other modules of queries register theirs when they are imported."""
-    from inkfold.plans import checks  # noqa: F401
+    from inkfold.plans import builds, checks  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -36,7 +36,7 @@ def test_strict_suggestions(spark):
 def test_vocabulary_and_profanity(spark):
     rows = frame(spark, [(1, "their dog"), (2, "zzz dog"), (3, "12"), (4, None)], "i int, t string")
     lex = frame(spark, [("their", 5.0), ("dog", 4.0), ("zzz", 1.0)], "word string, zipf double")
-    assert {r.i: r.reason for r in R.vocabulary_reason(rows, "t", lex).collect()} == {1: None, 2: "rare_token", 3: "no_english_token", 4: None}
+    assert {r.i: r.reason for r in R.vocabulary_reason(rows, "t", lex).collect()} == {1: None, 2: "rare_or_misspelled_token", 3: "no_english_tokens", 4: None}
     bad = frame(spark, [("Dog",)], "word string")
     assert {r.i: r.profane for r in R.profane(rows, "t", bad).collect()} == {1: True, 2: True, 3: False, 4: False}
 
