@@ -93,9 +93,9 @@ def balanced_windows(rows: DataFrame, key: str, text: str, wanted: dict[int, int
         n = F.size("_w")
         dice = F.conv(F.substring(place(f"{seed}:start:{size}", F.col("_k")), 1, 8), 16, 10).cast("long")
         if chunk is None:
-            fits, start = n >= size, F.pmod(dice, n - size + 1)
+            fits, start = n >= size, F.pmod(dice, F.greatest(n - size + 1, F.lit(1)))
         elif size == chunk:
-            fits, start = n >= size, F.pmod(dice, F.floor(n / chunk)) * chunk
+            fits, start = n >= size, F.pmod(dice, F.greatest(F.floor(n / chunk), F.lit(1))) * chunk
         else:
             fits, start = n % chunk == size, n - size
         w = left.where(fits).select("_k", start.cast("int").alias("start"), place(f"{seed}:{size}", F.col("_k")).alias("_p"), "_w")

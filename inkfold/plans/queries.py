@@ -595,7 +595,7 @@ def typing_distances(spark, sf):
 
 def _all() -> None:
     """The other modules of queries register theirs when they are imported."""
-    from inkfold.plans import builds, checks  # noqa: F401
+    from inkfold.plans import builds, capture, checks  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
