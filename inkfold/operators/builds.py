@@ -99,7 +99,7 @@ def balanced_windows(rows: DataFrame, key: str, text: str, wanted: dict[int, int
         else:
             fits, start = n % chunk == size, n - size
         w = left.where(fits).select("_k", start.cast("int").alias("start"), place(f"{seed}:{size}", F.col("_k")).alias("_p"), "_w")
-        w = w.withColumn("text", F.array_join(F.slice("_w", F.col("start") + 1, F.lit(size)), " ")).where(R.window_reason(F.col("text"), F.lit(size)).isNull())
+        w = w.withColumn("text", F.array_join(F.slice("_w", F.greatest(F.col("start") + 1, F.lit(1)), F.lit(size)), " ")).where(R.window_reason(F.col("text"), F.lit(size)).isNull())
         first = w.groupBy(T.plain(F.col("text")).alias("_n")).agg(F.min(F.struct("_p", "_k", "start", "text")).alias("s")).select("s.*")
         taken = cut(first.orderBy("_p", "_k").limit(wanted[size]).select("_k", F.lit(size).alias("size"), "start", "text"))
         parts.append(taken)
