@@ -7,6 +7,7 @@ import hashlib
 import re
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,18 +50,28 @@ def ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio()
 
 
+_FEATURE = re.compile(r"[\w<>']+")
+
+
+def simhashes(texts: list[str | None]) -> list[int | None]:
+    """64-bit similarity hashes as signed longs: each bit is the majority of the hashes of a text's tokens and adjacent
+    pairs. A text without tokens has all bits set."""
+    features, sizes = [], []
+    for t in texts:
+        tokens = _FEATURE.findall(t or "")
+        features += tokens + [f"{x} {y}" for x, y in zip(tokens, tokens[1:])]
+        sizes.append(max(0, 2 * len(tokens) - 1))
+    digests = b"".join(hashlib.blake2b(f.encode(), digest_size=8).digest() for f in features)
+    bits = np.unpackbits(np.frombuffer(digests, dtype=np.uint8).reshape(-1, 8), axis=1)
+    ends = np.cumsum(sizes)
+    sums = np.concatenate([np.zeros((1, 64), dtype=np.int64), np.cumsum(bits, axis=0, dtype=np.int64)])
+    ones = sums[ends] - sums[ends - np.array(sizes, dtype=np.int64)]
+    major = np.packbits(2 * ones >= np.array(sizes)[:, None], axis=1).view(">i8").ravel() if len(texts) else []
+    return [None if t is None else int(v) for t, v in zip(texts, major)]
+
+
 def simhash(text: str | None) -> int | None:
-    """64-bit similarity hash over tokens and adjacent pairs, as a signed long. A text without tokens has all bits set."""
-    if text is None:
-        return None
-    tokens = re.findall(r"[\w<>']+", text)
-    score = [0] * 64
-    for f in tokens + [f"{x} {y}" for x, y in zip(tokens, tokens[1:])]:
-        h = int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest(), "big")
-        for i in range(64):
-            score[i] += 1 if h >> i & 1 else -1
-    value = sum(1 << i for i in range(64) if score[i] >= 0)
-    return value - (1 << 64) if value >> 63 else value
+    return simhashes([text])[0]
 
 
 def _pairs(f, kind: str):
@@ -75,4 +86,4 @@ ratio_of = _pairs(ratio, "double")
 
 
 def simhash_of(text: Column) -> Column:
-    return F.pandas_udf(lambda s: pd.Series([simhash(v) for v in s], dtype="Int64"), "long")(text)
+    return F.pandas_udf(lambda s: pd.Series(simhashes(s.tolist()), dtype="Int64"), "long")(text)

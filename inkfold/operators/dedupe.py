@@ -85,3 +85,15 @@ def kept_rows(rows: DataFrame, near: float = NEAR) -> DataFrame:
     first = cut(rows.where("shape is not null").groupBy("normal", "group", "shape").agg(F.min("id").alias("id")))
     equal = first.alias("x").join(first.alias("y"), "normal").where("x.id < y.id").select(F.col("x.id").alias("earlier"), F.col("y.id").alias("later"))
     return kept(first, near_links(first.select("id", "group", "shape"), near).select("earlier", "later").union(equal))
+
+
+def screened(rows: DataFrame, reference: DataFrame, near: float = NEAR) -> DataFrame:
+    """``(id, reason)`` of rows ``(id, normal, shape)`` that a reference ``(id, normal, shape)`` has already:
+    ``reference_duplicate`` for an equal key, else ``reference_near_duplicate``. They go before rows are compared with
+    each other, so that they block none."""
+    same = rows.join(reference.select("normal").distinct(), "normal", "left_semi").select("id", F.lit("reference_duplicate").alias("reason"))
+    rest = rows.join(same.select("id"), "id", "left_anti")
+    tag = lambda d, n: d.where("shape is not null").groupBy("shape").agg(F.min("id").alias("id")).select(F.concat(F.lit(f"{n}:"), F.col("id").cast("string")).alias("id"), F.lit(None).cast("string").alias("group"), "shape")
+    links = near_links(tag(reference, 0).union(tag(rest, 1)), near).where("earlier like '0:%' and later like '1:%'")
+    shapes_ = tag(rest, 1).join(links.select(F.col("later").alias("id")).distinct(), "id", "left_semi").select("shape")
+    return same.union(rest.join(shapes_, "shape", "left_semi").select("id", F.lit("reference_near_duplicate").alias("reason")))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkfold.operators.rules import DIMENSIONS
 
-MOST_BUCKETS = 100_000
+MOST_BUCKETS = 1_000_000  # whose counts the driver holds; more are an error, never dropped
 
 
 def by_quality(judged: DataFrame, buckets: list[str], key: str = "candidate_id") -> DataFrame:
@@ -26,20 +28,39 @@ def by_quality(judged: DataFrame, buckets: list[str], key: str = "candidate_id")
 
 def deficits_first(available: dict[tuple, int], targets: list[dict], total: int) -> dict[tuple, int]:
     """How many to take of each bucket: one after the other from the bucket whose values lack most, the first
-    dimension counting most; of equal buckets the one with the larger names."""
+    dimension counting most; of equal buckets the one with the larger names.
+
+    What a value lacks only falls, so a heap of buckets needs to look again only at the one on top.
+    """
     left, lack, taken = dict(available), [dict(t) for t in targets], dict.fromkeys(available, 0)
-    for _ in range(total):
-        open_ = [b for b, n in left.items() if n > 0]
-        if not open_:
-            break
-        best = max(open_, key=lambda b: (tuple(lack[i].get(v, 0) for i, v in enumerate(b)), tuple(map(str, b))))
+    order = {b: i for i, b in enumerate(sorted(left, key=lambda b: tuple(map(str, b)), reverse=True))}
+    need = lambda b: (*(-lack[i].get(v, 0) for i, v in enumerate(b)), order[b])
+    heap = [(need(b), b) for b, n in left.items() if n > 0]
+    heapq.heapify(heap)
+    while heap and total > 0:
+        seen, best = heapq.heappop(heap)
+        now = need(best)
+        if now != seen:
+            heapq.heappush(heap, (now, best))
+            continue
         left[best] -= 1
         taken[best] += 1
+        total -= 1
         for i, v in enumerate(best):
             lack[i][v] = lack[i].get(v, 0) - 1
+        if left[best]:
+            heapq.heappush(heap, (need(best), best))
     return taken
 
 
+def complete_groups(judged: DataFrame, group: str, key: str, size: int, most: int) -> DataFrame:
+    """The rows of groups of which all ``size`` members are here, at most so many rows, groups in order of name. They
+    are taken before single rows, so that contrasts stay whole."""
+    g = judged.where(F.col(group).isNotNull()).groupBy(group).agg(F.countDistinct(key).alias("_n")).where(F.col("_n") == size)
+    first = g.orderBy(group).limit(most // size).select(group)
+    return judged.join(first, group, "left_semi")
+
+
 def select(ranked: DataFrame, buckets: list[str], targets: list[dict], total: int) -> DataFrame:
     """The best rows of each bucket, as many as ``deficits_first`` takes. Only the buckets' counts reach the driver."""
     counts = ranked.groupBy(*buckets).count().limit(MOST_BUCKETS + 1).collect()
@@ -74,3 +95,18 @@ def take_whole(groups: list[tuple[str, int]], wanted: int) -> list[str] | None:
             if have + size <= wanted and have + size not in reach:
                 reach[have + size] = (*reach[have], i)
     return [groups[i][0] for i in reach[wanted]] if wanted in reach else None
+
+
+def take_exact(groups: list[tuple[str, int]], wanted: int) -> list[tuple[str, int]]:
+    """``(group, members)`` of exactly ``wanted`` members in all, if there are as many: groups in order that fit whole,
+    then members of the first that did not, so that at most one group is split."""
+    out, left, late = [], wanted, []
+    for name, size in groups:
+        if size <= left:
+            out.append((name, size))
+            left -= size
+        else:
+            late.append((name, size))
+    if left and late:
+        out.append((late[0][0], left))
+    return out

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,6 +99,23 @@ def redact(props: Column, denied: tuple[str, ...]) -> Column:
     return F.to_json(F.map_from_entries(kept))
 
 
+def redact_nested(props: Column, denied: tuple[str, ...]) -> Column:
+    """A JSON value without denied keys and keys that end in _text, at any depth; what is no JSON becomes null."""
+
+    def clean(v):
+        if isinstance(v, dict):
+            return {k: clean(x) for k, x in v.items() if k not in denied and not k.endswith("_text")}
+        return [clean(x) for x in v] if isinstance(v, list) else v
+
+    def one(v: str | None) -> str | None:
+        try:
+            return None if v is None else json.dumps(clean(json.loads(v)), ensure_ascii=False, separators=(",", ":"))
+        except ValueError:
+            return None
+
+    return F.pandas_udf(lambda s: pd.Series([one(v) for v in s], dtype=object), "string")(props)
+
+
 def vote_errors(candidates: Column, votes: Column) -> Column:
     """Whether a result breaks its form: at most five candidates, none empty or repeated, votes beside each, all at least one."""
     return (F.size(candidates) > 5) | F.exists(candidates, lambda c: F.trim(c) == "") | (F.size(F.array_distinct(candidates)) != F.size(candidates)) | (F.size(votes) != F.size(candidates)) | F.exists(votes, lambda v: v < 1)

@@ -97,12 +97,12 @@ def select_splits(rows: DataFrame, quotas: dict[str, int], surface: list[str], f
 
     Within a split, a family gives one row and a surface occurs once; rows come in seeded order.
     """
-    left, out = rows.withColumn("_place", place(seed, F.concat_ws(":", family, *surface))), None
+    left, out = cut(rows.withColumn("_place", place(seed, F.concat_ws(":", family, *surface)))), None
     for name, quota in quotas.items():
         one = left.withColumn("_f", F.row_number().over(W.partitionBy(family).orderBy("_place"))).where("_f = 1").drop("_f")
         for s in surface:
             one = one.withColumn("_s", F.row_number().over(W.partitionBy(s).orderBy("_place"))).where("_s = 1").drop("_s")
-        chosen = one.orderBy("_place", family).limit(quota).withColumn("split", F.lit(name))
+        chosen = cut(one.orderBy("_place", family).limit(quota).withColumn("split", F.lit(name)))
         out = chosen if out is None else out.unionByName(chosen)
         left = left.join(chosen.select(family), family, "left_anti")
         for s in surface:

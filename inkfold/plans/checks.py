@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkfold.functions import text as T
+from inkfold.operators import dedupe as DD
 from inkfold.operators import lexical as L
 from inkfold.operators import patterns as P
 from inkfold.operators import rules as R
@@ -184,3 +185,17 @@ def request_matches(spark, sf):
     rest = b.join(exact.select("burst_id"), "burst_id", "left_anti")
     loose = P.lookup(rest, entries.drop("entry_id"), "burst_id", [same], list(same), "entry").select("burst_id", "entry", F.lit(1).alias("tier"))
     return exact.union(loose)
+
+
+@query("""select event_id, '{"event_id":' || event_id || ',"type":"' || event_type || '","inner":{"kept":[{"v":' || event_id % 7 || '}]}}' as redacted from events where event_type is not null and user_id is not null""")
+def redacted_payloads(spark, sf):
+    e = table(spark, sf, "events").where("event_type is not null and user_id is not null")
+    payload = F.format_string('{"event_id":%d,"type":"%s","user_text":"x","inner":{"k":%d,"raw_text":null,"kept":[{"k":1,"v":%d}]}}', "event_id", "event_type", "user_id", F.col("event_id") % 7)
+    return e.select("event_id", R.redact_nested(payload, ("k",)).alias("redacted"))
+
+
+@query()
+def near_draft_links(spark, sf):
+    """Drafts whose masked texts are alike, one row of each different mask."""
+    rows = context(spark, sf).where("text is not null").groupBy(T.shape(F.col("text")).alias("shape")).agg(F.min("row_id").alias("id"))
+    return DD.near_links(rows.select("id", F.lit(None).cast("string").alias("group"), "shape"))

@@ -196,7 +196,30 @@ def contrast_groups(spark, sf):
     return r.groupBy("group_id").agg(n.alias("n"), v.alias("variants"), F.countDistinct("input.text").alias("drafts"), ((v == 6) & (n == 6)).alias("complete"))
 
 
-@query()
+def _bad(name: str, x: str) -> list[tuple[str, str]]:
+    q = lambda p: p.replace("'", "''")
+    checks = (("empty", f"trim({x}, ' ') = ''"), ("control", f"regexp_matches({x}, '{q(T.CONTROL)}')"), ("email", f"regexp_matches({x}, '{q(T.EMAIL)}')"), ("phone", f"regexp_matches({x}, '{_PH}')"), ("url", f"regexp_matches({x}, '(?i)(?:https?://|www\\.)')"), ("newline", f"regexp_matches({x}, '[\\n\\r]')"))
+    return [(f"{name}_{r}", f"coalesce({c}, true)") for r, c in checks]
+
+
+_SN = "coalesce(input.context_snippets, [])"
+_REASONS = ", ".join(
+    f"case when {c} then '{r}' end"
+    for r, c in (
+        *_bad("input", "input.text"),
+        *_bad("suggestion", "output.suggestion"),
+        ("input_too_long", "length(input.text) > 160"),
+        ("unsupported_word_count", f"len({WORDS.format('input.text')}) not between 1 and 10"),
+        ("too_many_snippets", f"len({_SN}) > 4"),
+        ("snippet_too_long", f"len(list_filter({_SN}, lambda x: length(x.visible_text) > 1200)) > 0"),
+        ("context_not_empty", f"context_behavior = 'none' and len({_SN}) > 0"),
+        ("context_missing", f"context_behavior <> 'none' and len({_SN}) = 0"),
+        ("rationale_empty", "coalesce(trim(rationale), '') = ''"),
+    )
+)
+
+
+@query(f"select reason, count(*) as n from (select unnest(list_filter([{_REASONS}], lambda x: x is not null)) as reason from synthetic_candidates) group by reason")
 def candidate_rejections(spark, sf):
     r = table(spark, sf, "synthetic_candidates")
     return r.select(F.explode(R.candidate_reasons(r)).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
@@ -392,10 +415,25 @@ def family_hash_split(spark, sf):
     return S.hash_split(context(spark, sf).select("row_id", "family_id"), "family_id", {"train": 0.8, "eval": 0.1, "test": 0.1}, "split")
 
 
-@query()
+def _isolated_sql(quotas: dict[str, int]) -> str:
+    parts = [f"""l0 as (select distinct family_id, draft, target, sha256('isolate:' || family_id || ':' || draft || ':' || target) as p from (
+      select family_id, {FOLD.format('text')} as draft, {FOLD.format('suggestion')} as target from {CONTEXT} where family_id is not null and text is not null and suggestion is not null))"""]
+    for i, (name, quota) in enumerate(quotas.items()):
+        one = f"select * from l{i} qualify row_number() over (partition by family_id order by p) = 1"
+        for c in ("draft", "target"):
+            one = f"select * from ({one}) qualify row_number() over (partition by {c} order by p) = 1"
+        parts.append(f"c{i} as (select *, '{name}' as split from ({one}) order by p, family_id limit {quota})")
+        parts.append(f"l{i + 1} as (select * from l{i} where family_id not in (select family_id from c{i}) and draft not in (select draft from c{i}) and target not in (select target from c{i}))")
+    return f"with {', '.join(parts)} " + " union all ".join(f"select family_id, draft, target, split from c{i}" for i in range(len(quotas)))
+
+
+_ISOLATED = {"test": 50, "eval": 50, "train": 200}
+
+
+@query(_isolated_sql(_ISOLATED))
 def isolated_splits(spark, sf):
-    rows = context(spark, sf).where("family_id is not null and text is not null and suggestion is not null").select("row_id", "family_id", T.fold(F.col("text")).alias("draft"), T.fold(F.col("suggestion")).alias("target"))
-    return S.select_splits(rows, {"test": 50, "eval": 50, "train": 200}, ["draft", "target"], "family_id", "isolate")
+    rows = context(spark, sf).where("family_id is not null and text is not null and suggestion is not null").select("family_id", T.fold(F.col("text")).alias("draft"), T.fold(F.col("suggestion")).alias("target"))
+    return S.select_splits(rows, _ISOLATED, ["draft", "target"], "family_id", "isolate").select("family_id", "draft", "target", "split")
 
 
 # ---- lexical -------------------------------------------------------------------------------------------------------
@@ -549,13 +587,20 @@ def model_inputs(spark, sf):
     return table(spark, sf, "context").select("row_id", C.model_input(F.col("input.text"), C.bounded_context(F.col("input.context_snippets"))).alias("model_input"))
 
 
-@query()
+@query(f"""with recursive f as (select family_id, count(*)::double as n, row_number() over (order by sha256('fill:' || family_id), family_id) as i from {CONTEXT} where family_id is not null group by family_id),
+  w(i, family_id, split, a, b, c) as (
+    select 0, null::varchar, null::varchar, 0.0::double, 0.0::double, 0.0::double
+    union all select f.i, f.family_id, case when a / 0.8::double <= b / 0.1::double and a / 0.8::double <= c / 0.1::double then 'train' when b / 0.1::double <= c / 0.1::double then 'eval' else 'test' end,
+      a + case when a / 0.8::double <= b / 0.1::double and a / 0.8::double <= c / 0.1::double then f.n else 0 end, b + case when not (a / 0.8::double <= b / 0.1::double and a / 0.8::double <= c / 0.1::double) and b / 0.1::double <= c / 0.1::double then f.n else 0 end,
+      c + case when not (a / 0.8::double <= b / 0.1::double and a / 0.8::double <= c / 0.1::double) and not (b / 0.1::double <= c / 0.1::double) then f.n else 0 end from w join f on f.i = w.i + 1)
+  select family_id, split from w where i > 0""")
 def filled_splits(spark, sf):
     f = context(spark, sf).where("family_id is not null").groupBy("family_id").agg(F.count(F.lit(1)).alias("n"))
     return C.fill_splits(f, "family_id", "n", {"train": 0.8, "eval": 0.1, "test": 0.1}, "fill")
 
 
-@query()
+@query("""with u as (select id, row_number() over (order by id) - 1 as i, count(*) over () as n from utterances where id is not null)
+  select id from u where (((i - (1454956953079340599)) % n) + n) % n < 16""")
 def rotating_references(spark, sf):
     return C.rotating(table(spark, sf, "utterances").where("id is not null"), "id", "round-1").select("id")
 
