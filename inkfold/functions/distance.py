@@ -63,10 +63,11 @@ def simhashes(texts: list[str | None]) -> list[int | None]:
         sizes.append(max(0, 2 * len(tokens) - 1))
     digests = b"".join(hashlib.blake2b(f.encode(), digest_size=8).digest() for f in features)
     bits = np.unpackbits(np.frombuffer(digests, dtype=np.uint8).reshape(-1, 8), axis=1)
-    ends = np.cumsum(sizes)
+    size = np.array(sizes, dtype=np.int64)
+    ends = np.cumsum(size)
     sums = np.concatenate([np.zeros((1, 64), dtype=np.int64), np.cumsum(bits, axis=0, dtype=np.int64)])
-    ones = sums[ends] - sums[ends - np.array(sizes, dtype=np.int64)]
-    major = np.packbits(2 * ones >= np.array(sizes)[:, None], axis=1).view(">i8").ravel() if len(texts) else []
+    ones = sums[ends] - sums[ends - size]
+    major = np.packbits(2 * ones >= size[:, None], axis=1).view(">i8").ravel() if len(texts) else []
     return [None if t is None else int(v) for t, v in zip(texts, major)]
 
 

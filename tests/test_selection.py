@@ -64,7 +64,7 @@ def test_similarity_hashes():
 def test_near_links_are_alike(spark):
     rng = random.Random(3)
     words = [f"word{i}" for i in range(40)]
-    texts = [" ".join(rng.choice(words) for _ in range(14)) for _ in range(30)]
+    texts = [" ".join(rng.choice(words) for _ in range(80)) for _ in range(30)]
     texts += [t.replace(t.split()[3], "other", 1) for t in texts[:10]]
     rows = spark.createDataFrame([(i, None if i % 2 else "g", t) for i, t in enumerate(texts)] + [(99, None, ""), (98, None, None)], "id int, group string, shape string")
     got = {(r.earlier, r.later): r.ratio for r in DD.near_links(rows).collect()}
