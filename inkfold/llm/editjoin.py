@@ -2,10 +2,12 @@
 
 Two texts match when at most ``len(longer) // 10`` insertions, deletions and replacements turn one into the other.
 With k edits allowed, the longer text is cut into k + 1 disjoint segments of which one must survive unchanged in the
-shorter one, at most k places away. Any cut will do, so each text is cut where its segments are rarest: a count sketch
-of all segments of the corpus, of fixed size, steers a dynamic program. The shorter text offers all its substrings of
-segment length. Segments meet in shards of bounded size; a frequent segment is split into square tiles. Survivors of
-the position, length and bag-of-letters bounds are verified by banded dynamic programming.
+shorter one, at most k places away. Segments are as long as k + 1 of them fit into the shortest text of their class of
+lengths. Any cut will do, so each text is cut where its segments are rarest: a count sketch of all segments of the
+corpus steers a dynamic program. The shorter text offers its substrings of the segment length of each class that may
+hold a partner, but only those that a bit map of all cuts has. Segments meet in shards of bounded size; a frequent
+segment is split into square tiles. Survivors of the position, length and bag-of-letters bounds are verified by banded
+dynamic programming. Sketch and bit map grow with the corpus up to a fixed size, beyond which they only tell less.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ from pyspark.sql import functions as F
 
 from inkfold.session import cut
 
-Q = 4  # letters of a segment
-SKETCH_BITS = 18  # buckets of the count sketch: 2 MB on the driver and in each task, whatever the corpus
+#: Letters of a segment of texts from so many letters on: k + 1 segments must fit into the shortest of a class.
+CLASSES = ((10, 5), (20, 6), (30, 7))
+SKETCH_BITS = (16, 22)  # least and most bits of the count sketch: at most 32 MB on the driver, 16 MB in each task
+MAP_BITS = (16, 24)  # of the bit map of cuts: at most 2 MB
 TILE = 20_000  # most rows of one side of one segment in a shard
 SHARD = 150_000  # rows aimed at in a shard
 CHUNK = 1_000_000  # candidate pairs looked at together
@@ -45,79 +49,131 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def segments(codes: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each substring of Q letters: the text's ordinal, its position, its hash."""
-    count = np.maximum(n - Q + 1, 0)
+def segment_length(n: np.ndarray) -> np.ndarray:
+    """The segment length of texts of these lengths; 0 for texts that match only themselves."""
+    out = np.zeros(len(n), dtype=np.int64)
+    for low, q in CLASSES:
+        out[n >= low] = q
+    return out
+
+
+def may_probe(n: np.ndarray, q: int) -> np.ndarray:
+    """Whether texts of these lengths may match a longer or equally long one of the class of segment length ``q``."""
+    i = [x for _, x in CLASSES].index(q)
+    low, high = CLASSES[i][0], CLASSES[i + 1][0] if i + 1 < len(CLASSES) else np.iinfo(np.int64).max
+    least = np.maximum(n, low)
+    return (least < high) & (least - allowed(least) <= n)
+
+
+def segments(codes: np.ndarray, start: np.ndarray, n: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each substring of ``q`` letters: the text's ordinal, its position, its hash."""
+    count = np.maximum(n - q + 1, 0)
     owner = np.repeat(np.arange(len(n)), count)
     pos = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    at, h = np.repeat(start, count) + pos, np.zeros(count.sum(), dtype=np.uint64)
+    at, h = np.repeat(start, count) + pos, np.full(count.sum(), q, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(Q):
+        for i in range(q):
             h = _mix((h + codes[at + i].astype(np.uint64) + np.uint64(1)) * _A)
     return owner, pos, h
 
 
-def bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def bucket(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _bits(limits: tuple[int, int], number: int) -> int:
+    return int(min(max(int(number).bit_length(), limits[0]), limits[1]))
 
 
-def sketch(texts: DataFrame) -> np.ndarray:
-    """How often each bucket's segments occur, over all texts. The result has 2^SKETCH_BITS counts."""
+def sketch(texts: DataFrame, bits: int) -> np.ndarray:
+    """How often each bucket's segments occur, over all texts, in 2^bits counts."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        total = np.zeros(1 << bits, dtype=np.int64)
         for _, some in pieces(batches):
-            total += np.bincount(bucket(segments(*letters(some.tolist()))[2]), minlength=len(total))
+            codes, start, n = letters(some.tolist())
+            for _, q in CLASSES:
+                who = np.nonzero(may_probe(n, q))[0]
+                total += np.bincount(bucket(segments(codes, start[who], n[who], q)[2], bits), minlength=len(total))
         used = np.nonzero(total)[0]
         yield pd.DataFrame({"bucket": used, "n": total[used]})
 
-    out = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    out = np.zeros(1 << bits, dtype=np.int64)
     rows = texts.mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     out[rows["bucket"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
     return out
 
 
-def cuts(cost: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+def pivot_map(texts: DataFrame, shared, bits: int) -> np.ndarray:
+    """A bit map of the hashes at which texts are cut, as bytes: 2^bits bits, put together by words of 64."""
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine = np.zeros(1 << bits, dtype=bool)
+        for _, some in pieces(batches):
+            for _, _, h, cut_here, _ in offers(some.tolist(), shared.value):
+                mine[bucket(h[cut_here], bits)] = True
+        words = np.packbits(mine).view(np.int64)
+        used = np.nonzero(words)[0]
+        yield pd.DataFrame({"word": used, "bits": words[used]})
+
+    out = np.zeros((1 << bits) // 64, dtype=np.int64)
+    rows = texts.mapInPandas(mark, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toPandas()
+    out[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
+    return out.view(np.uint8)
+
+
+def offers(texts: list[str], counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """For each class: the text's ordinal, the position and the hash of each segment of texts that may have a partner
+    there, and the ordinals of those segments at which texts of the class are cut."""
+    codes, start, n = letters(texts)
+    own = segment_length(n)
+    for _, q in CLASSES:
+        who = np.nonzero(may_probe(n, q))[0]
+        owner, pos, h = segments(codes, start[who], n[who], q)
+        yield who[owner], pos, h, pivots(n[who], own[who] == q, h, counts, q), q
+
+
+def cuts(cost: np.ndarray, n: np.ndarray, k: int, q: int) -> np.ndarray:
     """For texts with k edits allowed: positions of k + 1 disjoint segments of least total cost.
 
     ``cost`` is a matrix of texts by positions, infinite where no segment starts.
     """
     rows, width = cost.shape
-    best = np.full((k + 2, width + Q + 1, rows), np.inf, dtype=np.float32)
+    best = np.full((k + 2, width + q + 1, rows), np.inf, dtype=np.float32)
     best[0] = 0
     by_pos = np.ascontiguousarray(cost.T)
     for i in range(width):
-        # best[m][i + Q]: m segments that end at or before i + Q
-        np.minimum(best[1:, i + Q - 1], best[:-1, i] + by_pos[i], out=best[1:, i + Q])
+        # best[m][i + q]: m segments that end at or before i + q
+        np.minimum(best[1:, i + q - 1], best[:-1, i] + by_pos[i], out=best[1:, i + q])
     out = np.zeros((rows, k + 1), dtype=np.int64)
-    at, left, who = np.full(rows, width + Q - 1), np.full(rows, k + 1), np.arange(rows)
+    at, left, who = np.full(rows, width + q - 1), np.full(rows, k + 1), np.arange(rows)
     for i in range(width - 1, -1, -1):
-        live = (left > 0) & (at >= i + Q)
-        take = live & (best[left, i + Q, who] < best[left, i + Q - 1, who])
+        live = (left > 0) & (at >= i + q)
+        take = live & (best[left, i + q, who] < best[left, i + q - 1, who])
         out[who[take], left[take] - 1] = i
         left[take] -= 1
         at[take] = i
     return out
 
 
-def pivots(codes, start, n, owner, pos, h, counts) -> np.ndarray:
-    """Ordinals, among all segments, of those at which the texts are cut."""
-    first = np.concatenate([[0], np.cumsum(np.maximum(n - Q + 1, 0))])
-    rarity = np.log1p(counts[bucket(h)].astype(np.float64))
+def pivots(n: np.ndarray, mine: np.ndarray, h: np.ndarray, counts: np.ndarray, q: int) -> np.ndarray:
+    """Ordinals, among all segments of texts of these lengths, of those at which the texts of ``mine`` are cut."""
+    first = np.concatenate([[0], np.cumsum(np.maximum(n - q + 1, 0))])
+    rarity = np.log1p(counts[bucket(h, len(counts).bit_length() - 1)].astype(np.float64))
     out = []
-    ks = allowed(n)
+    ks = np.where(mine, allowed(n), 0)
     for k in np.unique(ks[ks > 0]):
         who = np.nonzero((ks == k) & (n <= LONG))[0]
         if len(who):
-            cost = np.full((len(who), int(n[who].max()) - Q + 1), np.inf, dtype=np.float32)
+            cost = np.full((len(who), int(n[who].max()) - q + 1), np.inf, dtype=np.float32)
             for j, t in enumerate(who):
                 # the square makes one frequent segment cost more than several rare ones
-                cost[j, : n[t] - Q + 1] = np.expm1(rarity[first[t] : first[t + 1]]) + 0.01
-            out.append((first[who][:, None] + cuts(cost, n[who], int(k))).ravel())
+                cost[j, : n[t] - q + 1] = np.expm1(rarity[first[t] : first[t + 1]]) + 0.01
+            out.append((first[who][:, None] + cuts(cost, n[who], int(k), q)).ravel())
     for t in np.nonzero((ks > 0) & (n > LONG))[0]:
         edges = np.linspace(0, n[t], ks[t] + 2).astype(int)
         r = rarity[first[t] : first[t + 1]]
-        out.append(np.array([first[t] + a + int(np.argmin(r[a : max(a + 1, b - Q + 1)])) for a, b in zip(edges[:-1], edges[1:])]))
+        out.append(np.array([first[t] + a + int(np.argmin(r[a : max(a + 1, b - q + 1)])) for a, b in zip(edges[:-1], edges[1:])]))
     return np.concatenate(out).astype(np.int64) if out else np.zeros(0, dtype=np.int64)
 
 
@@ -202,6 +258,9 @@ def match_shard(rows: pd.DataFrame, forest: bool) -> pd.DataFrame:
     hi = np.searchsorted(where, pk * span + np.minimum(pp + reach, span - 1), "right")
     size = hi - lo
     sig = bags(codes, start, have)
+    sent = [i for i, x in enumerate(rows["sig"].to_numpy()[first]) if x is not None]
+    for i in sent:  # a long text stayed behind; its bit maps came along
+        sig[i] = np.frombuffer(rows["sig"].to_numpy()[first[i]], dtype=np.uint64)
     wide = int(have.max(initial=0))
     whole = np.zeros((len(n), wide), dtype=np.uint32)
     whole[np.repeat(np.arange(len(n)), have), np.arange(len(codes)) - np.repeat(start, have)] = codes
@@ -219,13 +278,13 @@ def match_shard(rows: pd.DataFrame, forest: bool) -> pd.DataFrame:
         if forest:
             keep &= label[r] != label[s]
         r, s, k = r[keep], s[keep], k[keep]
-        later = n[s] > LONG  # the text stayed behind: verified after the shards
-        open_.append(np.unique(r[later] * len(n) + s[later]))
-        r, s, k = r[~later], s[~later], k[~later]
         x = np.bitwise_count(sig[r, :4] ^ sig[s, :4]).sum(axis=1)
         r, s, k = (v[x <= 2 * k] for v in (r, s, k))
         x = np.bitwise_count(sig[r, 4:] ^ sig[s, 4:]).sum(axis=1)
         r, s, k = (v[x <= 4 * k] for v in (r, s, k))
+        later = n[s] > LONG  # verified after the shards, on the texts
+        open_.append(np.unique(r[later] * len(n) + s[later]))
+        r, s, k = r[~later], s[~later], k[~later]
         if not len(r):
             continue
         pair = np.unique(r * len(n) + s)
@@ -285,36 +344,43 @@ def edit_links(texts: DataFrame, forest: bool = True) -> DataFrame:
     come out (once or more). Null texts match nothing; texts under ten letters match only themselves.
     """
     texts = texts.select("id", "text").where(F.col("text").isNotNull())
-    counts = sketch(texts)
-    shared = texts.sparkSession.sparkContext.broadcast(counts)
+    size = texts.agg(F.sum(F.length("text")).alias("letters"), F.count(F.lit(1)).alias("n")).first()
+    bits = _bits(SKETCH_BITS, size["letters"] or 0)
+    counts = sketch(texts, bits)
+    shared = texts.sparkSession.sparkContext.broadcast(counts.astype(np.int32) if counts.max(initial=0) < 2**31 else counts)
+    map_bits = _bits(MAP_BITS, 8 * ((size["letters"] or 0) // 10 + size["n"]))
+    marked = texts.sparkSession.sparkContext.broadcast(pivot_map(texts, shared, map_bits))
     shards = max(1, int(counts.sum() // SHARD))
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = shared.value
+        seen, has_cut = shared.value, np.unpackbits(marked.value).astype(bool)
         for ids, texts_ in pieces(batches):
-            codes, start, n = letters(texts_.tolist())
-            owner, pos, h = segments(codes, start, n)
-            at_cut = pivots(codes, start, n, owner, pos, h, seen)
-            take = np.concatenate([at_cut, np.arange(len(h))])
-            is_pivot = np.arange(len(take)) < len(at_cut)
-            # a bucket that was met once in the corpus has no partner
-            use = seen[bucket(h[take])] > 1
-            take, is_pivot = take[use], is_pivot[use]
-            tiles = -(-seen[bucket(h[take])] // TILE)
-            of = np.repeat(np.arange(len(take)), tiles)
-            other = np.arange(len(of)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
-            take, is_pivot, tiles = take[of], is_pivot[of], tiles[of]
-            with np.errstate(over="ignore"):
-                own = (_mix(ids[owner[take]].astype(np.uint64) * _A) % tiles.astype(np.uint64)).astype(np.int64)
-                tile = np.where(is_pivot, own * tiles + other, other * tiles + own)
-                shard = _mix(h[take] + tile.astype(np.uint64) * _A) % np.uint64(shards)
+            _, _, n = letters(texts_.tolist())
             carried = np.where(n > LONG, None, texts_)
-            for at in range(0, len(take), 200_000):
-                x = slice(at, at + 200_000)
-                who = owner[take[x]]
-                yield pd.DataFrame({"shard": shard[x].astype(np.int64), "key": h[take[x]].view(np.int64), "pivot": is_pivot[x], "pos": pos[take[x]].astype(np.int32), "id": ids[who], "n": n[who].astype(np.int32), "text": carried[who]})
-
-    rows = texts.mapInPandas(emit, "shard long, key long, pivot boolean, pos int, id long, n int, text string")
+            sig = np.full(len(n), None, dtype=object)
+            for i in np.nonzero(n > LONG)[0]:
+                sig[i] = bags(*letters([texts_[i]])).tobytes()
+            for owner, pos, h, at_cut, _ in offers(texts_.tolist(), seen):
+                probes = np.nonzero(has_cut[bucket(h, map_bits)])[0]
+                take = np.concatenate([at_cut, probes])
+                is_pivot = np.arange(len(take)) < len(at_cut)
+                # a bucket that was met once in the corpus has no partner
+                met = seen[bucket(h[take], bits)].astype(np.int64)
+                take, is_pivot, met = take[met > 1], is_pivot[met > 1], met[met > 1]
+                tiles = -(-met // TILE)
+                of = np.repeat(np.arange(len(take)), tiles)
+                other = np.arange(len(of)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
+                take, is_pivot, tiles = take[of], is_pivot[of], tiles[of]
+                with np.errstate(over="ignore"):
+                    own = (_mix(ids[owner[take]].astype(np.uint64) * _A) % tiles.astype(np.uint64)).astype(np.int64)
+                    tile = np.where(is_pivot, own * tiles + other, other * tiles + own)
+                    shard = _mix(h[take] + tile.astype(np.uint64) * _A) % np.uint64(shards)
+                for at in range(0, len(take), 200_000):
+                    x = slice(at, at + 200_000)
+                    who = owner[take[x]]
+                    yield pd.DataFrame({"shard": shard[x].astype(np.int64), "key": h[take[x]].view(np.int64), "pivot": is_pivot[x], "pos": pos[take[x]].astype(np.int32), "id": ids[who], "n": n[who].astype(np.int32), "text": carried[who], "sig": sig[who]})
+
+    rows = texts.mapInPandas(emit, "shard long, key long, pivot boolean, pos int, id long, n int, text string, sig binary")
     found = cut(rows.groupBy("shard").applyInPandas(lambda g: match_shard(g, forest), "a long, b long, sure boolean").distinct())
     ta, tb = (texts.select(F.col("id").alias(x), F.col("text").alias("t" + x)) for x in "ab")
     late = found.where("not sure").select("a", "b").join(ta, "a").join(tb, "b").mapInPandas(verify, "a long, b long")
