@@ -23,8 +23,8 @@ from inkfold.session import cut
 
 #: Letters of a segment of texts from so many letters on: k + 1 segments must fit into the shortest of a class.
 CLASSES = ((10, 5), (20, 6), (30, 7))
-SKETCH_BITS = (16, 22)  # least and most bits of the count sketch: at most 32 MB on the driver, 16 MB in each task
-MAP_BITS = (16, 24)  # of the bit map of cuts: at most 2 MB
+SKETCH_BITS = (16, 20)  # least and most bits of the count sketch: at most 8 MB on the driver, 4 MB in each task
+MAP_BITS = (16, 22)  # of the bit map of cuts: at most half a megabyte
 TILE = 20_000  # most rows of one side of one segment in a shard
 SHARD = 150_000  # rows aimed at in a shard
 CHUNK = 1_000_000  # candidate pairs looked at together
