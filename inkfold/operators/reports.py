@@ -51,6 +51,11 @@ def set_usage(calls: DataFrame, key: list[str], order: str, sums: list[str]) ->
     return g.select(*key, F.transform("_r", lambda x: x["response"]).alias("responses"), *sums)
 
 
+def costs(calls: DataFrame, by: list[str], cost: str) -> DataFrame:
+    """``(*by, calls, with_cost, cost)``: recorded costs to eight places, null where no call has one."""
+    return calls.groupBy(*by).agg(F.count(F.lit(1)).alias("calls"), F.count(cost).alias("with_cost"), F.round(F.sum(cost), 8).alias("cost"))
+
+
 def counters(results: DataFrame, order: list[str], ok: Column, valid: Column, latency: str) -> DataFrame:
     """Counters over all results: requests, answered, errors, of broken form, the last answer's latency and the mean.
 

@@ -8,6 +8,7 @@ from inkfold.functions import text as T
 from inkfold.operators import builds as B
 from inkfold.operators import corpus as C
 from inkfold.operators import lexical as L
+from inkfold.operators import planning as PL
 from inkfold.operators import quality as Q
 from inkfold.operators import reports as RP
 from inkfold.operators import rules as R
@@ -247,3 +248,15 @@ def hint_coverage(spark, sf):
     best = found.groupBy("token").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("candidates"))
     hints = tokens.join(best, "token").groupBy("example_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "candidates"))).alias("hints"))
     return RP.hint_coverage(g.join(hints, "example_id", "left"), "changed", "accepted", "hints")
+
+
+@query("select label, count(*) as calls, count(estimated_cost_usd) as with_cost, round(sum(estimated_cost_usd), 8) as cost from predictions group by label")
+def run_costs(spark, sf):
+    return RP.costs(table(spark, sf, "predictions"), ["label"], "estimated_cost_usd")
+
+
+@query("""with g as (select group_id from synthetic_candidates where group_id is not null group by group_id having count(distinct candidate_id) = 6 order by group_id limit 20)
+  select distinct candidate_id, group_id from synthetic_candidates where group_id in (select group_id from g)""")
+def whole_groups(spark, sf):
+    """The first 120 rows of groups that have all six members."""
+    return PL.complete_groups(table(spark, sf, "synthetic_candidates"), "group_id", "candidate_id", 6, 120).select("candidate_id", "group_id").distinct()

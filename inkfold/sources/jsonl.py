@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkfold.operators.sampling import numbered
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -40,9 +42,10 @@ def read_checked(spark: SparkSession, path: str, schema: T.StructType) -> tuple[
 
 
 def read_numbered(spark: SparkSession, path: str) -> DataFrame:
-    """``(line_no, value)`` of one small file, by line order; for sources where the line number is data."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", "\n")).alias("i", "value")).where(F.trim("value") != "").select((F.col("i") + 1).alias("line_no"), "value")
+    """``(line_no, value)`` of one file's lines that are not blank, numbered from 1 with blank ones counted; for sources
+    where the line number is data. A file may be as large as it is: its blocks are numbered apart and put in a row."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    return numbered(lines, ["_block", "_row"], "_n").select((F.col("_n") + 1).cast("int").alias("line_no"), "value").where(F.trim("value") != "")
 
 
 def read_manifest(spark: SparkSession, path: str, schema: T.StructType | str, version: int) -> DataFrame:
@@ -94,7 +97,9 @@ def write_document(rows: DataFrame, path: str) -> None:
 
 
 def markdown(rows: DataFrame, most: int = 1000) -> str:
-    """A small report table as Markdown."""
+    """A report table as Markdown; rows beyond ``most`` are counted in a last line, not left out in silence."""
     cell = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v).replace("|", "\\|")
     head = ["| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns)]
-    return "\n".join(head + ["| " + " | ".join(map(cell, r)) + " |" for r in rows.limit(most).collect()]) + "\n"
+    shown = rows.limit(most + 1).collect()
+    more = [f"\n{rows.count() - most} more rows"] if len(shown) > most else []
+    return "\n".join(head + ["| " + " | ".join(map(cell, r)) + " |" for r in shown[:most]] + more) + "\n"
