@@ -85,8 +85,11 @@ def _bits(limits: tuple[int, int], number: int) -> int:
     return int(min(max(int(number).bit_length(), limits[0]), limits[1]))
 
 
+CHUNKS = 1024  # parts of a sketch that are added up apart
+
+
 def sketch(texts: DataFrame, bits: int) -> np.ndarray:
-    """How often each bucket's segments occur, over all texts, in 2^bits counts."""
+    """How often each bucket's segments occur, over all texts, in 2^bits counts. They travel as bytes, not as rows."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << bits, dtype=np.int64)
@@ -95,13 +98,22 @@ def sketch(texts: DataFrame, bits: int) -> np.ndarray:
             for _, q in CLASSES:
                 who = np.nonzero(may_probe(n, q))[0]
                 total += np.bincount(bucket(segments(codes, start[who], n[who], q)[2], bits), minlength=len(total))
-        used = np.nonzero(total)[0]
-        yield pd.DataFrame({"bucket": used, "n": total[used]})
-
-    out = np.zeros(1 << bits, dtype=np.int64)
-    rows = texts.mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out[rows["bucket"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
-    return out
+        parts = total.reshape(CHUNKS, -1)
+        used = np.nonzero(parts.any(axis=1))[0]
+        yield pd.DataFrame({"chunk": used, "part": [p.astype(np.int32 if p.max() < 2**31 else np.int64).tobytes() for p in parts[used]]})
+
+    size = (1 << bits) // CHUNKS
+
+    def add(g: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(size, dtype=np.int64)
+        for p in g["part"]:
+            total += np.frombuffer(p, dtype=np.int32 if len(p) == 4 * size else np.int64)
+        return pd.DataFrame({"chunk": g["chunk"].iloc[:1], "part": [total.tobytes()]})
+
+    out = np.zeros((CHUNKS, size), dtype=np.int64)
+    for r in texts.mapInPandas(count, "chunk long, part binary").groupBy("chunk").applyInPandas(add, "chunk long, part binary").collect():
+        out[r["chunk"]] = np.frombuffer(r["part"], dtype=np.int64)
+    return out.ravel()
 
 
 def pivot_map(texts: DataFrame, shared, bits: int) -> np.ndarray:
