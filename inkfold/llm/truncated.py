@@ -30,7 +30,7 @@ ORDERS = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 16, 20, 24)
 WEIGHT = 6.0  # of the shorter context's estimate, in observations
 LABEL = 0.3  # least share of a label's occurrences that have its mark
 OFTEN = 8  # copies that make a label of a text short enough for one context, if its letters seldom go on elsewhere
-BITS = 22  # buckets of the bit map of last contexts: half a megabyte, whatever the corpus
+BITS = (16, 27)  # least and most bits of the bit map of last contexts, eight for each: at most 16 MB, beyond which it only tells less
 SEEN = 4  # observations that a context needs to be used
 NAME, WORD, PICTURE = "\x01", "\x02", "\x03"  # stand for a capitalised and a small word that few texts hold, and for emoji
 WORDS = 200_000  # most common words that are broadcast
@@ -201,23 +201,28 @@ def truncated(values: DataFrame) -> DataFrame:
                     yield pd.DataFrame({"field": row["field"].to_numpy(), "id": row["id"].to_numpy(), "lang": lang[ids[who]], "label": label[ids[who]], "variant": mark[ids[who]] if some is not shapes else 0, "order": order, "h": h.view(np.int64)})
 
     last = cut(shaped.mapInPandas(ends, "field string, id long, lang string, label boolean, variant int, order int, h long"))
-    # a bit map of fixed size tells which contexts end some text: only those are counted
-    wanted = np.zeros(1 << BITS, dtype=bool)
-    wanted[last.select(F.shiftrightunsigned("h", 64 - BITS).alias("b")).distinct().toPandas()["b"].to_numpy(dtype=np.int64)] = True
-    bitmap = values.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+    # a bit map tells which contexts end some text: only those are counted
+    bits = int(min(max((8 * last.count()).bit_length(), BITS[0]), BITS[1]))
+    place = F.shiftrightunsigned("h", 64 - bits)
+    one = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int))")
+    marked = last.select(F.shiftrightunsigned(place, 6).alias("w"), one.alias("b")).groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toPandas()
+    wanted = np.zeros((1 << bits) // 64, dtype=np.int64)
+    wanted[marked["w"].to_numpy(dtype=np.int64)] = marked["b"].to_numpy(dtype=np.int64)
+    bitmap = values.sparkSession.sparkContext.broadcast(wanted.view(np.uint64))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        use = np.unpackbits(bitmap.value).astype(bool)
+        use = bitmap.value
         for b in batches:
             for field, some in b.groupby("field"):
                 size = np.cumsum(some["shape"].str.len().to_numpy()) // 1_000_000
                 for piece in np.unique(size):
                     part = some[size == piece]
                     for _, h, stop in all_contexts(part["shape"].tolist()):
-                        hit = use[(h >> np.uint64(64 - BITS)).astype(np.int64)]
-                        keys, at = np.unique(h[hit], return_inverse=True)
-                        ended = np.bincount(at, weights=stop[hit], minlength=len(keys)).astype(np.int64)
-                        met = np.bincount(at, minlength=len(keys))
+                        at = h >> np.uint64(64 - bits)
+                        hit = (use[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+                        keys, of = np.unique(h[hit], return_inverse=True)
+                        ended = np.bincount(of, weights=stop[hit], minlength=len(keys)).astype(np.int64)
+                        met = np.bincount(of, minlength=len(keys))
                         yield pd.DataFrame({"field": field, "h": keys.view(np.int64), "ended": ended, "met": met})
 
     counts = shaped.mapInPandas(count, "field string, h long, ended long, met long").groupBy("field", "h").agg(F.sum("ended").alias("ended"), F.sum("met").alias("met")).where("met > 1")
