@@ -79,3 +79,22 @@ def test_screened_rows(spark):
     rows = spark.createDataFrame([(1, "n1", "x"), (2, "m", "the long shape of a <entity> with <number> words in it"), (3, "k", "quite another one"), (4, None, None)], kind)
     assert {tuple(r) for r in DD.screened(rows, reference).collect()} == {(1, "reference_duplicate"), (2, "reference_near_duplicate")}
     assert DD.screened(rows, reference.limit(0)).count() == 0 and DD.screened(rows.limit(0), reference).count() == 0
+
+
+def test_markdown_counts_what_it_leaves_out(spark):
+    from inkfold.sources import jsonl
+
+    page = jsonl.markdown(spark.range(5).toDF("a|b"), most=3)
+    assert page.count("\n| ") == 3 + 0 and page.endswith("\n\n2 more rows\n") and "more" not in jsonl.markdown(spark.range(3), most=3)
+
+
+def test_whole_file_is_numbered(spark, tmp_path):
+    from inkfold.sources import jsonl
+
+    (tmp_path / "f.txt").write_text("\n".join("" if i % 10 == 9 else f"line {i}" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        got = {r.line_no: r.value for r in jsonl.read_numbered(spark, str(tmp_path / "f.txt")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {i + 1: f"line {i}" for i in range(5000) if i % 10 != 9}
