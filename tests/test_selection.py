@@ -85,7 +85,7 @@ def test_markdown_counts_what_it_leaves_out(spark):
     from inkfold.sources import jsonl
 
     page = jsonl.markdown(spark.range(5).toDF("a|b"), most=3)
-    assert page.count("\n| ") == 3 + 0 and page.endswith("\n\n2 more rows\n") and "more" not in jsonl.markdown(spark.range(3), most=3)
+    assert page.count("\n| ") == 4 and page.endswith("\n\n2 more rows\n") and "more" not in jsonl.markdown(spark.range(3), most=3)
 
 
 def test_whole_file_is_numbered(spark, tmp_path):
