@@ -129,7 +129,7 @@ def leaks(docs: DataFrame, items: DataFrame, words: int = 13, edits: int = 0, re
             keys = walk_keys(h, start, start + words, words, sample, w)
             order = np.argsort(keys, kind="stable")
             tables.append((keys[order], order))
-        shared = docs.sparkSession.sparkContext.broadcast((tables, ids, every, owner, start))
+        shared = docs.sparkSession.sparkContext.broadcast((tables, ids, every, owner, start, signatures(h, start, start + words, words)))
         found = doc_rows.mapInPandas(_finder(shared, words, edits, sample), f"doc {doc_type}, item {item_type}")
     else:
         found = _joined(doc_rows, item_rows, words, edits, sample, walks, doc_type, item_type)
@@ -183,30 +183,50 @@ def _joined(docs: DataFrame, items: DataFrame, words: int, edits: int, sample: i
     return texts.select("doc", "item", "d", "i", "td", "ti").mapInPandas(verify, f"doc {doc_type}, item {item_type}")
 
 
+def signatures(h: np.ndarray, start: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
+    """A bit map of 64 of the words of each window of ``length`` words that is cut short at its end."""
+    bit = np.append(np.uint64(1) << (_mix(h) >> np.uint64(58)), np.uint64(0))
+    out = np.zeros(len(start), dtype=np.uint64)
+    for k in range(length):
+        at = start + k
+        out |= bit[np.where(at < end, at, len(h))]
+    return out
+
+
 def _finder(shared, words: int, edits: int, sample: int):
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables, ids, item_words, item_of, item_start = shared.value
+        tables, ids, item_words, item_of, item_start, item_sig = shared.value
         for b in batches:
             for some in _pieces(b):
                 docs = some["doc"].to_numpy()
                 every, h, owner, start, end, last = _doc_windows(some["t"].tolist(), words, edits)
-                pairs = set()
+                sig = signatures(h, start, last[owner], words + edits) if edits else None
+                pairs, tried = set(), np.zeros(0, dtype=np.int64)
                 for w, (keys, place) in enumerate(tables):
                     if not len(keys):
                         continue
                     key = walk_keys(h, start, end, words, sample, w)
                     lo = np.searchsorted(keys, key, "left")
                     hit = np.nonzero(keys[np.minimum(lo, len(keys) - 1)] == key)[0]
-                    hi = np.searchsorted(keys, key[hit], "right")
-                    for i, c, d in zip(hit.tolist(), lo[hit].tolist(), hi.tolist()):
-                        for j in place[c:d].tolist():
-                            pair = (owner[i], item_of[j])
-                            if pair in pairs:
-                                continue
-                            x = item_words[item_start[j] : item_start[j] + words].tolist()
-                            y = every[start[i] : min(start[i] + words + edits, last[owner[i]])].tolist()
-                            if x == y[:words] or (edits and edits_within(x, y, edits)):
-                                pairs.add(pair)
+                    n = np.searchsorted(keys, key[hit], "right") - lo[hit]
+                    i = np.repeat(hit, n)
+                    j = place[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[hit], n)]
+                    if edits:
+                        # an edit takes one word of the item's away at most; meetings of earlier walks are settled
+                        near = np.bitwise_count(item_sig[j] & ~sig[i]) <= edits
+                        i, j = i[near], j[near]
+                        meeting = np.unique(i * len(item_start) + j)
+                        meeting = meeting[~np.isin(meeting, tried)]
+                        tried = np.union1d(tried, meeting)
+                        i, j = meeting // len(item_start), meeting % len(item_start)
+                    for x_, y_ in zip(i.tolist(), j.tolist()):
+                        pair = (owner[x_], item_of[y_])
+                        if pair in pairs:
+                            continue
+                        x = item_words[item_start[y_] : item_start[y_] + words].tolist()
+                        y = every[start[x_] : min(start[x_] + words + edits, last[owner[x_]])].tolist()
+                        if x == y[:words] or (edits and edits_within(x, y, edits)):
+                            pairs.add(pair)
                 yield pd.DataFrame({"doc": [docs[a] for a, _ in pairs], "item": [ids[b_] for _, b_ in pairs]})
 
     return find
