@@ -272,11 +272,13 @@ def japanese_spans(line: str, true: str, wrong: str) -> list[Span]:
 _RANK = {c: math.log(1 / (i + 2)) for i, c in enumerate(RUSSIAN)}
 
 
+@lru_cache(1 << 16)
 def _russian(word: str) -> float:
     """How well the letters of a word read as Russian: their usual frequency, small letters after the first."""
     return sum(_RANK.get(c.lower(), -6.0) - (3.0 if i and c.isupper() and not word.isupper() else 0.0) for i, c in enumerate(word) if c.isalpha())
 
 
+@lru_cache(1 << 16)
 def _cased(word: str) -> bool:
     """Whether no capital follows a small letter."""
     return not any(a.islower() and b.isupper() for a, b in zip(word, word[1:]))
@@ -475,8 +477,10 @@ def restore(text: str | None) -> tuple[str | None, bool]:
     """The text with its garbled spans put back as far as can be, and whether any were found."""
     if text is None or (text.isascii() and "&#" not in text):
         return text, False
-    lines = text.split("\n")
     hit = MARK in text
+    if not hit and "&#" not in text and not (_TOUCHING.search(text) or _ODD.search(text)):
+        return text, False
+    lines = text.split("\n")
     # entities are read as characters only in lines that are garbled then
     bare = [unescape(line) for line in lines]
     if bare != lines:
