@@ -83,6 +83,12 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode(table(spark, sf, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
+def p8_decoded(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts that the ids of all documents stand for; those of null texts are empty."""
+    path = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+    return tokens.decode(tokens.encode(table(spark, sf, "documents"), path), path).select("doc_id", "text")
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
@@ -131,6 +137,7 @@ def oracle_sql() -> dict[str, str]:
             select distinct metadata.family_id as family_id, metadata.example_id as example_id from context
             where sha256('sample-v1:family_id:' || metadata.family_id) < '{sampling.threshold(FAMILY_RATE)}'
               and sha256('sample-v1:example_id:' || metadata.example_id) < '{sampling.threshold(EXAMPLE_RATE)}'""",
+        "p8_decoded": "select doc_id, coalesce(text, '') as text from documents",
         "p9_found": f"""
             with d as ({_grams("documents", "doc_id")}), i as ({_grams("eval_items", "item_id")})
             select distinct doc_id, item_id from d join i using (g)""",
