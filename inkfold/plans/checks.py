@@ -8,6 +8,7 @@ from inkfold.functions import text as T
 from inkfold.operators import dedupe as DD
 from inkfold.operators import lexical as L
 from inkfold.operators import patterns as P
+from inkfold.operators import quality as Q
 from inkfold.operators import rules as R
 from inkfold.operators import score as SC
 from inkfold.operators import validation as V
@@ -199,3 +200,11 @@ def near_draft_links(spark, sf):
     """Drafts whose masked texts are alike, one row of each different mask."""
     rows = context(spark, sf).where("text is not null").groupBy(T.shape(F.col("text")).alias("shape")).agg(F.min("row_id").alias("id"))
     return DD.near_links(rows.select("id", F.lit(None).cast("string").alias("group"), "shape"))
+
+
+@query(f"""select {FOLD.format('draft')} as key, count(distinct {FOLD.format('committed')}) as targets, array_to_string(list_sort(list(distinct source)), ',') as splits from {BURSTS}
+  where draft is not null and committed is not null group by key having count(distinct {FOLD.format('committed')}) > 1""")
+def conflicting_commits(spark, sf):
+    """Drafts that were committed in different ways, with the sources they came from."""
+    b = bursts(spark, sf)
+    return Q.conflicts(b, T.fold(F.col("draft")), T.fold(F.col("committed")), F.col("source"))
