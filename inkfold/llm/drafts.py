@@ -71,6 +71,16 @@ def cross_split_pairs(rows: DataFrame) -> DataFrame:
     return held.join(train, "draft").select(F.least("t", "h").alias("row_id_a"), F.greatest("t", "h").alias("row_id_b"))
 
 
+def overlap_classes(rows: DataFrame) -> DataFrame:
+    """One row for each draft that stands in train and in eval or test: ``(draft, n_train, n_held, row_id_train,
+    row_id_held)``, the numbers of its rows and the least row of each side, whatever the number of pairs."""
+    split = F.lower(F.trim("split"))
+    d = drafts(rows.select("row_id", "text", "family_id", split.alias("split"))).where("split in ('train', 'eval', 'test')")
+    train = F.col("split") == "train"
+    g = d.groupBy("draft").agg(F.count_if(train).alias("n_train"), F.count_if(~train).alias("n_held"), F.min(F.when(train, F.col("row_id"))).alias("row_id_train"), F.min(F.when(~train, F.col("row_id"))).alias("row_id_held"))
+    return g.where("n_train > 0 and n_held > 0")
+
+
 def overlap_report(rows: DataFrame) -> DataFrame:
     """For each split and source of held-out rows: rows, those that also occur in train, and their share.
 

@@ -31,6 +31,10 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return d.cross_split_pairs(context(spark, sf))
 
 
+def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return d.overlap_classes(context(spark, sf)).drop("draft")
+
+
 def p2_overlap_report(spark: SparkSession, sf: str) -> DataFrame:
     return d.overlap_report(context(spark, sf))
 

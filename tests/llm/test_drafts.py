@@ -102,6 +102,7 @@ def test_groups_and_pairs(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
     assert {(r.row_id, r.group_id) for r in D.draft_groups(df).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (6, 6), (7, 6), (11, 11), (12, 11)}
     assert {(r.row_id_a, r.row_id_b) for r in D.cross_split_pairs(df).collect()} == {(1, 2), (1, 3), (2, 4), (3, 4), (11, 12)}
+    assert {tuple(r)[1:] for r in D.overlap_classes(df).collect()} == {(2, 2, 1, 2), (1, 1, 11, 12)}
     rep = {(r.split, r.source): (r.n_rows, r.n_in_train) for r in D.overlap_report(df).collect()}
     assert rep[("eval", "s")] == (1, 1) and rep[("test", "t")] == (2, 2) and rep[("test", "s")] == (2, 0)
     empty = df.limit(0)
