@@ -290,6 +290,11 @@ def match_shard(rows: pd.DataFrame, forest: bool) -> pd.DataFrame:
         if forest:
             keep &= label[r] != label[s]
         r, s, k = r[keep], s[keep], k[keep]
+        long = n[s] > LONG
+        if long.any():  # two long texts meet at many places: each pair once
+            once = np.unique(r[long] * len(n) + s[long])
+            r, s = np.concatenate([r[~long], once // len(n)]), np.concatenate([s[~long], once % len(n)])
+            k = allowed(n[s])
         x = np.bitwise_count(sig[r, :4] ^ sig[s, :4]).sum(axis=1)
         r, s, k = (v[x <= 2 * k] for v in (r, s, k))
         x = np.bitwise_count(sig[r, 4:] ^ sig[s, 4:]).sum(axis=1)
