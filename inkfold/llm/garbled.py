@@ -10,11 +10,13 @@ multi-byte encoding makes the line shorter, and a single-byte pair is taken off
 Forms that could stand in correct text count only in company: forms of letters alone when two of them touch or the
 text proves their pair, letters that turn into single letters when a run of them is no word of their own script, signs
 when they stand inside a word. A replacement character marks text whose bytes are lost; what stands around it is
-restored. Garbled characters that were then written as numeric entities are read as the characters.
+restored. Garbled characters that were then written as numeric entities are read as the characters. A text need not be
+UTF-8 at all: lines in other bytes are read byte by byte and so become garbled lines like others.
 """
 
 from __future__ import annotations
 
+import codecs
 import math
 import re
 import unicodedata
@@ -78,6 +80,36 @@ def upper(wrong: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def _stray(e: UnicodeDecodeError) -> tuple[str, int]:
+    """A stray byte of a UTF-8 line as cp1252 reads it; a sequence that lost bytes as one replacement character."""
+    lost = e.end - e.start > 1 or e.end == len(e.object)
+    return MARK if lost else read(e.object[e.start : e.end], "cp1252"), e.end
+
+
+codecs.register_error("inkfold-stray", _stray)
+_NO_ENDS = "ÂÃÐÑâð".encode("cp1252")  # first bytes of sequences whose letters end hardly any word
+
+
+def decoded(data: bytes) -> tuple[str, bool]:
+    """What the bytes of a text stand for, and whether any of them are no UTF-8.
+
+    A line with more such bytes than whole sequences was written in another encoding and is read as cp1252, from which
+    ``restore`` finds the encoding. A text that is cut within its last sequence ends in a replacement character.
+    """
+    try:
+        return data.decode(), False
+    except UnicodeDecodeError as e:
+        head = data[: e.start]
+        if e.reason == "unexpected end of data" and (e.end - e.start > 1 or not head.isascii() or data[e.start] in _NO_ENDS):
+            return head.decode() + MARK, True
+    lines = []
+    for line in data.split(b"\n"):
+        text = line.decode("utf-8", "replace")
+        bad = text.count(MARK) - line.count(MARK.encode())
+        lines.append(read(line, "cp1252") if 2 * bad > sum(c > "\x7f" for c in text) else line.decode("utf-8", "inkfold-stray"))
+    return "\n".join(lines), True
+
+
 @lru_cache(None)
 def to_bytes(wrong: str) -> dict[int, str]:
     """A table for ``translate``: each character as the byte that was read as it, at the same place of the text."""
@@ -512,14 +544,21 @@ def restore(text: str | None) -> tuple[str | None, bool]:
 def garbled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, restored)`` for each row whose text holds garbled spans; ``restored`` is the text with those put back.
 
-    Null and empty texts are never garbled; ASCII texts without numeric entities never leave the JVM. Repeated rows come
-    out repeatedly; other columns are dropped, whatever their names.
+    Null and empty texts are never garbled; ASCII texts without numeric entities never leave the JVM. Texts that are no
+    UTF-8 are garbled; Arrow would fail on them as strings, so all texts travel as bytes. Repeated rows come out
+    repeatedly; other columns are dropped, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(r"[^\x00-\x7F]|&#[xX0-9]"))
+    rows = rows.select("id", F.col("text").cast("binary").alias("text"))
+
+    def read_back(data: bytes) -> tuple[str, bool]:
+        text, broken = decoded(data)
+        text, hit = restore(text)
+        return text, hit or broken
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            done = [restore(t) for t in b["text"]]
+            done = [read_back(t) for t in b["text"]]
             keep = [h for _, h in done]
             yield pd.DataFrame({"id": b["id"][keep], "restored": [t for t, h in done if h]})
 

@@ -131,3 +131,26 @@ def test_rows(spark):
     got = g.garbled(rows).orderBy("doc_id").collect()
     assert [r["doc_id"] for r in got] == [1, 1, 5] and got[0]["restored"] == TEXTS["fr"] and got[2]["restored"].endswith(TEXTS["fr"])
     assert g.garbled(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("lang,wrote", [("de", "latin-1"), ("fr", "cp1252"), ("es", "cp1252"), ("en", "cp1252"), ("ru", "cp1251"), ("ru", "koi8-r"), ("ru", "cp866"), ("ja", "cp932"), ("ja", "euc_jp")])
+def test_lines_in_other_bytes(lang, wrote):
+    text = TEXTS[lang]
+    assert g.decoded(text.encode()) == (text, False)
+    got, broken = g.decoded(f"{TEXTS['fr']}\n".encode() + text.encode(wrote))
+    assert broken and g.restore(got)[0] == f"{TEXTS['fr']}\n{text}"
+
+
+def test_lost_and_stray_bytes():
+    assert g.decoded("Größe über".encode()[:-4]) == ("Größe �", True)
+    assert g.decoded("it’s".encode()[:4]) == ("it�", True) == g.decoded("it’s".encode()[:3])
+    assert g.decoded(b"one caf\xe9") == ("one café", True)
+    assert g.decoded("昨日、新しい".encode()[:5] + "新しい".encode()) == ("昨�新しい", True)
+    assert g.decoded("naïve � ".encode() + b"caf\xe9 bar") == ("naïve � café bar", True)
+
+
+def test_rows_that_are_no_utf8(spark):
+    bad = garble(TEXTS["fr"], "utf-8", "cp1252")
+    rows = spark.createDataFrame([(1, bytearray(bad.encode())), (2, bytearray(TEXTS["de"].encode("latin-1"))), (3, bytearray(bad.encode() + b"\xe2\x80")), (4, None), (5, bytearray(b"plain"))], "doc_id long, b binary")
+    got = g.garbled(rows.selectExpr("doc_id", "cast(b as string) as text")).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(1, TEXTS["fr"]), (2, TEXTS["de"]), (3, TEXTS["fr"] + "�")]
